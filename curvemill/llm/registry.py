@@ -1,11 +1,13 @@
 """The ten operators' queries, and SQL for those that SQL can express."""
 
-from . import mixing, url_rules
+from . import line_dedup, mixing, url_rules
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.query,
     "op3_url_rules": url_rules.query,
     "op10_mixing": mixing.query,
 }
 ORACLES = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
