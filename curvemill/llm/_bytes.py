@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def _table(members: bytes) -> np.ndarray:

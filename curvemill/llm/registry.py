@@ -1,10 +1,11 @@
 """The ten operators' queries, and SQL for those that SQL can express."""
 
-from . import langid, line_dedup, mixing, quality, url_rules
+from . import langid, line_dedup, mixing, packing, quality, url_rules
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_url_rules": url_rules.query,
+    "op5_packing": packing.query,
     "op7_quality": quality.query,
     "op9_langid": langid.query,
     "op10_mixing": mixing.query,
