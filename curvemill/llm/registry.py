@@ -1,16 +1,19 @@
 """The ten operators' queries, and SQL for those that SQL can express."""
 
-from . import langid, line_dedup, mixing, packing, quality, url_rules
+from . import langid, line_dedup, mixing, packing, quality, sharding, topk, url_rules
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_url_rules": url_rules.query,
     "op5_packing": packing.query,
+    "op6_sharding": sharding.query,
     "op7_quality": quality.query,
+    "op8_topk": topk.query,
     "op9_langid": langid.query,
     "op10_mixing": mixing.query,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op8_topk": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
