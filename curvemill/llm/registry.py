@@ -1,8 +1,9 @@
 """The ten operators' queries, and SQL for those that SQL can express."""
 
-from . import langid, line_dedup, mixing, packing, quality, sharding, topk, url_rules
+from . import langid, line_dedup, mixing, neardup, packing, quality, sharding, topk, url_rules
 
 QUERIES = {
+    "op1_neardup": neardup.query,
     "op2_line_dedup": line_dedup.query,
     "op3_url_rules": url_rules.query,
     "op5_packing": packing.query,
