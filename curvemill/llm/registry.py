@@ -1,11 +1,12 @@
 """The ten operators' queries, and SQL for those that SQL can express."""
 
-from . import langid, line_dedup, mixing, neardup, packing, quality, sharding, topk, url_rules
+from . import langid, line_dedup, mixing, neardup, packing, quality, sharding, topk, toxicity, url_rules
 
 QUERIES = {
     "op1_neardup": neardup.query,
     "op2_line_dedup": line_dedup.query,
     "op3_url_rules": url_rules.query,
+    "op4_toxicity": toxicity.query,
     "op5_packing": packing.query,
     "op6_sharding": sharding.query,
     "op7_quality": quality.query,
