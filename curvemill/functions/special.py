@@ -7,11 +7,11 @@ import math
 import numpy as np
 
 LOG_2PI = math.log(2 * math.pi)
-_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2))
+    x = np.asarray(x, float)
+    return np.array([0.5 * math.erfc(-v) for v in (x / math.sqrt(2)).ravel().tolist()]).reshape(x.shape)
 
 
 def log_normal_pdf(x, sd) -> np.ndarray:

@@ -317,7 +317,12 @@ class Fit:
         leads = [int(self.kept[e.lead]) for e in self.state.effects]
         base = self.to_grid @ self.y_mean if len(self.grid) != len(self.y_mean) else self.y_mean
         terms = [F.array(*(F.lit(float(v)) for v in base))]
-        terms += [F.transform(F.array(*(F.lit(float(v)) for v in c.effect)), lambda f, j=j: f * (F.col(x)[j] - float(self.x_mean[j]))) for j, c in zip(leads, self.curves, strict=True)]
+
+        def of_lead(j: int, effect: np.ndarray):
+            off = F.col(x)[j] - float(self.x_mean[j])
+            return F.transform(F.array(*(F.lit(float(v)) for v in effect)), lambda f: f * off)
+
+        terms += [of_lead(j, c.effect) for j, c in zip(leads, self.curves, strict=True)]
         total = terms[0]
         for t in terms[1:]:
             total = F.zip_with(total, t, lambda a, b: a + b)

@@ -1,6 +1,5 @@
 """Registered queries and their DuckDB oracles."""
 
-from __future__ import annotations
+from .queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]

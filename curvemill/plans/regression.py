@@ -43,8 +43,9 @@ class RegressionFit:
         """(key, t, y): curves less the covariates' effects; no join, the effects are literals of the plan."""
         out = F.col(y) if to_grid is None else F.array(*(sum(F.col(y)[int(k)] * float(v) for k, v in zip(np.flatnonzero(r), r[np.flatnonzero(r)], strict=True)) for r in to_grid))
         for j, c in enumerate(self.curves):
-            effect = F.array(*(F.lit(float(v)) for v in c))
-            out = F.zip_with(out, effect, lambda a, f, j=j: a - f * (F.col(x)[j] - float(self.x_mean[j])))
+            off = F.col(x)[j] - float(self.x_mean[j])
+            effect = F.array(*(F.lit(float(v)) * off for v in c))
+            out = F.zip_with(out, effect, lambda a, f: a - f)
         return rows.select(key, F.posexplode(out).alias("t", "y")).withColumn("t", F.col("t") + 1)
 
 
