@@ -58,7 +58,7 @@ def curated(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a url: scheme, host, its parents, subdomain, path parts, file type, query keys, fragment.
+    """Distinct tokens of a url: scheme, host, its parents, its labels, path parts, file type, query keys, fragment.
 
     Runs of digits become 0, so that article numbers don't make tokens of their own. A null url has none.
     """
@@ -66,13 +66,14 @@ def tokens(url: Column) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.when(host != "", F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(labels, i, n), "."))))
+    names = F.when(host != "", F.transform(labels, lambda x: F.concat(F.lit("label="), x)))
     parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path="), F.regexp_replace(F.translate(x, UPPER, LOWER), "[0-9]+", "0")))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.regexp_extract(x, "^([^=]*)", 1)))
     scheme = F.array(F.concat(F.lit("scheme="), F.regexp_extract(url, "^([^:]*)://", 1)))
     mark = F.when(F.contains(url, F.lit("#")), F.array(F.lit("fragment")))
     none = F.array().cast("array<string>")
-    return F.when(url.isNull(), none).otherwise(F.array_distinct(F.concat(scheme, *(F.coalesce(x, none) for x in (parents, parts, keys, mark)))))
+    return F.when(url.isNull(), none).otherwise(F.array_distinct(F.concat(scheme, *(F.coalesce(x, none) for x in (parents, names, parts, keys, mark)))))
 
 
 def mine(labelled: DataFrame, *, min_support: float = 0.001, min_confidence: float = 0.6, partitions: int | None = None) -> DataFrame:
