@@ -12,9 +12,10 @@ the text's length.
 Signatures are cut into bands; texts that share a band are candidates, which are
 verified exactly on their whole texts. What is returned are the components of
 the graph of verified links. Copies of one shingle set are one node, and a
-band's members are compared with leaders, not with each other, so no group
-emits its pairs: whoever fails one leader meets others, and only what is
-still in different components afterwards is compared in blocks.
+band's members are first compared with a leader, not with each other. What is
+still in different components afterwards is compared in blocks that hold the
+shingle sets, and a block emits no pairs but the links that join two components,
+fewer than its rows.
 
 With 32 bands of 4, a pair of similarity 0.8 shares no band once in 2 * 10**7.
 """
@@ -33,8 +34,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Up to this many ids of texts to verify are broadcast, so that other texts aren't shuffled.
 MAX_BROADCAST_IDS = 2_000_000
-#: Rounds in which members of a band that are still apart meet another leader.
-LEADER_ROUNDS = 3
 #: Rows of a block in which the rest of a band is compared.
 BLOCK = 512
 #: Rank from which regions double; below is one region.
@@ -180,15 +179,20 @@ def _verifying(width: int, least: float, weighting: str):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, least: float = SIMILARITY, weighting: str = "set") -> DataFrame:
-    """The pairs (x, y) whose texts have a similarity of at least ``least``, exactly."""
-    needed = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+def _texts(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, text) of the documents with these ids, filtered where they are read if the ids are few enough to broadcast."""
+    needed = ids.distinct()
     if needed.count() <= MAX_BROADCAST_IDS:
         needed = F.broadcast(needed)
-    texts = texts.join(needed, "id", "left_semi")
+    return docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(needed, "id", "left_semi")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, least: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+    """The pairs (x, y) whose texts have a similarity of at least ``least``, exactly."""
+    texts = _texts(docs, pairs.select(F.col("x").alias("id")).union(pairs.select("y")), text, key)
     kind = pairs.schema["x"].dataType.simpleString()
-    both = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("text_x")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("text_y")), "y")
+    # the hint keeps small and large inputs on one plan: texts are never broadcast
+    both = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("text_x")).hint("merge"), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("text_y")).hint("merge"), "y")
     return both.select("x", "y", "text_x", "text_y").mapInArrow(_verifying(width, least, weighting), f"x {kind}, y {kind}").distinct()
 
 
@@ -198,45 +202,100 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps (Kiveris et al. 2014) alternate until every id hangs on its root; each round is written to the shared folder.
     """
     edges = written(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
     while True:
+        children = edges.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
+        if children[0] == children[1] and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = written(small, "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        seen = state
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
 
 
-def _alike(k: int, least: float):
-    """Pairs of a block's rows, in different components, whose signatures agree as much as those of similar texts must."""
+def _promising(k: int, rows_of_band: int, least: float):
+    """Rows of a block that share this band first with a row of another component whose signature agrees as much as a similar text's must."""
     enough = least * k - 4.5 * np.sqrt(least * (1 - least) * k)
 
     def run(group, rows):
         sig = np.stack([np.frombuffer(s, np.uint32) for s in rows.column("sig").to_pylist()])
-        ids, n, root, chunk = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "root", "chunk"))
-        one_block = group[1].as_py() == group[2].as_py()
-        xs, ys = [], []
-        for i in range(len(sig)):
-            others = np.flatnonzero((root != root[i]) & (np.arange(len(sig)) > i) & (one_block | (chunk != chunk[i])) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]) - 1e-9))
-            others = others[(sig[others] == sig[i]).sum(1) >= enough]
-            xs.append(np.full(len(others), i))
-            ys.append(others)
-        x, y = np.concatenate(xs), np.concatenate(ys)
+        n, root, chunk = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "root", "chunk"))
+        one_block, b = group[1].as_py() == group[2].as_py(), rows.column("b")[0].as_py()
+        hit = np.zeros(len(sig), bool)
+        for i in range(len(sig) - 1):
+            others = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (one_block | (chunk[i + 1 :] != chunk[i])) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i]) - 1e-9))
+            same = sig[others] == sig[i]
+            near = same.sum(1) >= enough
+            same = same[near]
+            first = same.reshape(len(same), k // rows_of_band, rows_of_band).all(2).argmax(1) == b
+            hit[others[near][first]] = True
+            hit[i] |= first.any()
+        return rows.select(["band", "rep", "n", "root"]).filter(pa.array(hit))
+
+    return run
+
+
+def _joined(least: float):
+    """Links between a block's components, found by comparing shingle sets; rows that a link has put together aren't compared again."""
+
+    def run(group, rows):
+        sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
+        counts = [np.ones(len(x), np.int64) if c is None else np.frombuffer(c, np.int64) for x, c in zip(sets, rows.column("counts").to_pylist(), strict=True)]
+        _, part = np.unique(rows.column("root").to_numpy(zero_copy_only=False), return_inverse=True)
+        names, token = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(x) for x in sets])
+        edges = np.concatenate([[0], np.cumsum(size)])
+        weight = np.concatenate(counts)
+        mass = np.add.reduceat(weight, edges[:-1])
+        held, xs, ys = np.zeros(len(names), np.int64), [], []
+        for i in range(len(sets) - 1):
+            own = slice(edges[i], edges[i + 1])
+            others = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (np.minimum(mass[i + 1 :], mass[i]) >= least * np.maximum(mass[i + 1 :], mass[i]) - 1e-9))
+            if not len(others):
+                continue
+            held[token[own]] = weight[own]
+            length = size[others]
+            at = np.cumsum(length) - length
+            cells = np.repeat(edges[others] - at, length) + np.arange(int(length.sum()))
+            common = np.add.reduceat(np.minimum(held[token[cells]], weight[cells]), at)
+            held[token[own]] = 0
+            for j in others[common >= least * (mass[i] + mass[others] - common) - 1e-9]:
+                if part[j] != part[i]:
+                    part[part == part[j]] = part[i]
+                    xs.append(i)
+                    ys.append(int(j))
         column = rows.column("rep")
-        return pa.table({"x": column.take(pa.array(x)), "y": column.take(pa.array(y))})
+        return pa.table({"x": column.take(pa.array(xs, pa.int64())), "y": column.take(pa.array(ys, pa.int64()))})
 
     return run
 
 
+def _shingled(width: int, weighting: str):
+    def run(batches):
+        hasher = Hasher(6)
+        for part, data, offsets in chunks(batches, "text"):
+            h, row, count = shingles(data, offsets, hasher, width)
+            edges = np.searchsorted(row, np.arange(part.num_rows + 1))
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
+            counts = cut(count.astype(np.int64)) if weighting == "count" else pa.nulls(part.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), cut(h), counts], names=["rep", "set", "counts"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """rows with a band's members dealt into blocks, and each block with each: columns i, j, chunk."""
+    size = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = rows.join(size, "band").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("blocks", "other")
+
+
 def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
     """(key, class_id): one row for each row of docs; class_id is the least key of its component.
 
@@ -252,43 +311,32 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width:
     nodes = seen.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").select(F.col("id").alias("rep"), "n", "sig")
 
     size = rows * 4
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * size + 1, F.lit(size))))).alias("band")
-    each = nodes.select("rep", "n", band)
-    shared = written(each.join(each.groupBy("band").count().where("count > 1").select("band"), "band"), "bands")
+    bands_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.cast("tinyint").alias("b"), F.xxhash64(b, F.substring("sig", b * size + 1, F.lit(size))).alias("band")))).alias("at")
+    each = nodes.select("rep", "n", bands_of).select("rep", "n", "at.b", "at.band")
+    shared = written(each.join(each.groupBy("band").count().where("count > 1").select("band").hint("merge"), "band"), "bands")
 
     def near(a: str, b: str):
         return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
 
+    # every member meets its band's first
     leader = shared.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("head"))
-    pairs = _ordered(shared.join(leader, "band").where(near("n", "head.n")).select(F.col("rep").alias("x"), F.col("head.rep").alias("y")))
-    done, links, root = None, None, None
-
-    def step(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        new = pairs if done is None else pairs.join(done, ["x", "y"], "left_anti")
-        new = written(new, "pairs")
-        if done is not None and new.isEmpty():
-            return done, links, root
-        found = written(verified(new, own, least=least, **options), "links")
-        everything = found if links is None else links.unionByName(found)
-        return (new if done is None else done.unionByName(new)), everything, components(everything)
-
-    done, links, root = step(pairs)
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = shared.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left").select("band", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        # a band of two has met its only pair; in others those of different components go on
-        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("by"), "rep", "n", "root")).alias("head")).where("lo <> hi and size > 2")
-        open_rows = written(placed.join(mixed.select("band", "size", "head"), "band"), "open")
-        if turn < LEADER_ROUNDS:
-            pairs = _ordered(open_rows.where((F.col("root") != F.col("head.root")) & near("n", "head.n")).select(F.col("rep").alias("x"), F.col("head.rep").alias("y")))
-        else:
-            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            dealt = open_rows.join(nodes.select("rep", "sig"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            dealt = dealt.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "n", "root", "chunk", "sig")
-            kind = own.schema[key].dataType.simpleString()
-            pairs = _ordered(dealt.groupBy("band", "i", "j").applyInArrow(_alike(bands * rows, least), f"x {kind}, y {kind}"))
-        if open_rows.isEmpty():
-            break
-        done, links, root = step(pairs)
+    pairs = shared.join(leader, "band").where(near("n", "head.n")).select(F.col("rep").alias("x"), F.col("head.rep").alias("y"))
+    links = written(verified(written(_ordered(pairs), "pairs"), own, least=least, **options), "links")
+    root = components(links)
+
+    # bands that still hold several components; a band of two has met its only pair
+    placed = shared.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("band")
+    apart = written(placed.join(mixed, "band", "left_semi"), "apart")
+    if not apart.isEmpty():
+        kind = own.schema[key].dataType.simpleString()
+        blocks = _dealt(apart, BLOCK).join(nodes.select("rep", "sig").hint("merge"), "rep")
+        found = blocks.groupBy("band", "i", "j").applyInArrow(_promising(bands * rows, rows, least), f"band bigint, rep {kind}, n bigint, root {kind}")
+        found = written(found.distinct(), "promising")
+        sets = _texts(own, found.select(F.col("rep").alias("id")), text, key).mapInArrow(_shingled(width, weighting), f"rep {kind}, set binary, counts binary")
+        blocks = _dealt(found, BLOCK).join(sets.hint("merge"), "rep")
+        more = blocks.groupBy("band", "i", "j").applyInArrow(_joined(least), f"x {kind}, y {kind}")
+        root = components(links.unionByName(written(more.distinct(), "more-links")))
     whole = member.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"))
     whole = whole.groupBy("id").agg(F.min("class_id").alias("class_id"))
     return docs.select(key).join(whole.select(F.col("id").alias(key), "class_id"), key, "left")
