@@ -155,6 +155,27 @@ class State:
     def log_likelihood(self) -> float:
         return -self.cells() / 2 * (LOG_2PI + math.log(self.sigma2)) - self.squared_error() / (2 * self.sigma2)
 
+    def _rest(self, i: int) -> float:
+        """||Y - X (B without effect i)||**2."""
+        g = self.fitted() - self.effects[i].first
+        return self.yty - 2 * float((g * self.xty).sum()) + float((g * (self.xtx @ g)).sum())
+
+    def marginal_log_likelihood(self, i: int) -> float:
+        """Of the residuals that effect i sees, the effect integrated out."""
+        return log_mean_exp(self.effects[i].lbf) - self.cells() / 2 * (LOG_2PI + math.log(self.sigma2)) - self._rest(i) / (2 * self.sigma2)
+
+    def expected_log_likelihood(self, i: int) -> float:
+        """Of the same residuals, under effect i's posterior."""
+        e = self.effects[i]
+        error = self._rest(i) - 2 * float((e.first * self.residual(i)).sum()) + float((self.d[:, None] * e.second).sum())
+        return -self.cells() / 2 * (LOG_2PI + math.log(self.sigma2)) - error / (2 * self.sigma2)
+
+    def false_sign_rate(self, i: int) -> np.ndarray:
+        """Local false sign rate of each coefficient of effect i, averaged over covariates by their probability."""
+        bhat = self.residual(i) / self.d[:, None]
+        shat = np.broadcast_to(np.sqrt(self.sigma2 / self.d)[:, None], bhat.shape)
+        return self.effects[i].alpha @ mx.local_false_sign_rate(self.effects[i].prior, bhat, shat)
+
     def objective(self) -> float:
         return self.log_likelihood() - sum(self.divergence(i) for i in range(len(self.effects)))
 
@@ -280,6 +301,10 @@ class Fit:
     def sets(self) -> list[np.ndarray]:
         return [self.kept[e.members] for e in self.state.effects]
 
+    def false_sign_rates(self) -> list[float]:
+        """The least rate over coefficients, for each effect."""
+        return [float(self.state.false_sign_rate(i).min()) for i in range(len(self.state.effects))]
+
     def summary(self) -> list[dict]:
         return [{"effect": i + 1, "size": len(e.members), "purity": self.state.purity(e.members), "max_lbf": e.max_lbf, "lead": self.names[self.kept[e.lead]]} for i, e in enumerate(self.state.effects)]
 

@@ -86,6 +86,23 @@ def test_two_effects_are_found(two, prior):
         assert np.corrcoef(fit.refit(other).curves[0].effect, fit.curves[0].effect)[0, 1] > 0.85
 
 
+def test_objective_identities():
+    """Kullback-Leibler divergence = expected less marginal log likelihood; on a state with known factors."""
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(4, 2)), rng.normal(size=(4, 2))
+    prior = mx.start_prior(np.array([0.0, 1.0]), [np.arange(2)], False)
+    mean, var = rng.normal(size=(2, 2)), rng.uniform(0.1, 1, (2, 2))
+    e = fm.Effect(np.array([0.3, 0.7]), mean, var, np.log([2.0, 0.5]), prior)
+    s = fm.State(x.T @ x, x.T @ y, float((y**2).sum()), 4, np.zeros(2, bool), fm.Settings(), prior, 0.7, [e])
+    assert np.allclose(s.residual(0), x.T @ y)  # a single effect sees the data
+    assert abs(s.divergence(0) - (s.expected_log_likelihood(0) - s.marginal_log_likelihood(0))) < 1e-10
+    normal = -4 * np.log(2 * np.pi * 0.7) - (y**2).sum() / 1.4
+    assert abs(s.marginal_log_likelihood(0) - (np.log(1.25) + normal)) < 1e-10
+    assert abs(s.objective() - (s.log_likelihood() - s.divergence(0))) < 1e-12
+    rate = s.false_sign_rate(0)
+    assert rate.shape == (2,) and ((rate >= 0) & (rate <= 1)).all()
+
+
 def test_constant_columns_and_order(two):
     x, y = two
     wide = np.insert(x, 5, 7.0, axis=1)
