@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from ._bytes import LOWER, SPACE, Hasher, _table, chunks, runs
 
 #: Fixed word lists of the grammar, in English, French, German and Spanish.
@@ -246,14 +247,13 @@ def _chosen(found: pa.Table, n_bad: int) -> list[tuple[int, int]]:
     return out
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn terminals and the logistic scale from rows (key, text, label 0 or 1); null labels take no part.
+def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic") -> Model:
+    """Learn terminals and the logistic scale from a bounded sample of rows (text, label 0 or 1); null labels take no part.
 
-    About ``sample_rows`` documents of each label are fitted on. Words that toxic documents merely share with their
-    own near copies seldom reach MIN_SHARE of all toxic documents, so they don't become terminals.
+    Words that toxic documents merely share with their own near copies seldom reach MIN_SHARE of all toxic documents,
+    so they don't become terminals.
     """
-    own = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    sample = _sampled(own, "label", "key", sample_rows)
+    own = labelled.where(F.col(label).isNotNull()).select(F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
     widths = [0, *STEMS]
 
     def tally(batches):
@@ -274,7 +274,7 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", key:
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(names), width, np.int32)), *(pa.array(c) for c in counts)], names=["term", "width", "bad", "good"])
 
     # equal texts are one document here
-    distinct = sample.groupBy("text").agg(F.max("label").alias("label"))
+    distinct = written(own.groupBy("text").agg(F.max("label").alias("label")), "toxic-sample")
     n_bad, n_good = (distinct.where(c).count() for c in ("label = 1", "label <> 1"))
     hasher, terms = Hasher(8), {}
     if n_bad:
@@ -333,10 +333,15 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def trained_on(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    """Fit on the labelled documents that aren't held out."""
-    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return train(docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id"), **options)
+def trained_on(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on about ``sample_rows`` documents of each label among those that aren't held out.
+
+    The sample is drawn from the labels alone, so it is of bounded size before it meets a text: it is broadcast, and texts
+    that aren't in it are never shuffled.
+    """
+    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
+    chosen = _sampled(marks, "toxic", "doc_id", sample_rows)
+    return train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
 
 
 def query(spark, sf_dir):
