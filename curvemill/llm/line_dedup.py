@@ -18,14 +18,12 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path, written
-from ._bytes import LOWER, SPACE, Hasher, buffers, chunks, lines, mix, stripped
+from ._bytes import LOWER, Hasher, chunks, lines, mix, stripped
 
 #: Keys in a shard, on average.
 SHARD_KEYS = 1 << 20
@@ -186,15 +184,18 @@ class Index:
     """
 
     def __init__(self, folder: str, n_shards: int):
+        from pyarrow import fs, parquet
+
         uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
-        self.files, self.path = pa.fs.FileSystem.from_uri(uri)
+        self.files, self.path = fs.FileSystem.from_uri(uri)
+        self.select, self.read = fs.FileSelector, parquet.read_table
         self.n_shards, self.held, self.bytes = n_shards, OrderedDict(), 0
 
     def shard(self, k: int) -> Shard | None:
         if k not in self.held:
-            infos = self.files.get_file_info(pa.fs.FileSelector(f"{self.path}/part={k}", allow_not_found=True))
+            infos = self.files.get_file_info(self.select(f"{self.path}/part={k}", allow_not_found=True))
             names = [i.path for i in infos if i.path.endswith(".parquet")]
-            rows = [r for p in names for r in pa.parquet.read_table(self.files.open_input_file(p)).to_pylist()]
+            rows = [r for p in names for r in self.read(self.files.open_input_file(p)).to_pylist()]
             self.held[k] = Shard(rows[0]) if rows else None
             self.bytes += self.held[k].bytes if rows else 0
             while self.bytes > CACHE_BYTES and len(self.held) > 1:

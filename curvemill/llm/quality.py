@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from ._bytes import LETTER, LOWER, SPACE, Hasher, _table, chunks, counted, lines, mix, runs, windows
+from ._bytes import LETTER, SPACE, Hasher, _table, chunks, counted, lines, mix, runs, windows
 
 SYMBOLS = _table(b"#*$%&|<>")
 UPPER = _table(bytes(range(65, 91)))
