@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a numpy pass.
-ROWS = 4096
+#: Rows of a numpy pass, and tasks that merge the partitions' partials.
+ROWS, MERGES = 4096, 16
 
 
 @dataclass
@@ -82,7 +82,7 @@ def moments(rows: DataFrame, *, x: str = "x", y: str = "y") -> Moments:
     if first is None:
         raise ValueError("no complete rows")
     p, total = len(first[0]), None
-    # partials are merged in a tree of tasks; the driver takes the last few
+    # partials are merged by a few tasks first, so the driver takes MERGES of them at most
     parts = whole.mapInArrow(_partials(p), "n bigint, mean array<double>, cross binary")
 
     def merge(batches):
@@ -95,7 +95,7 @@ def moments(rows: DataFrame, *, x: str = "x", y: str = "y") -> Moments:
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([held.n]), pa.array([held.mean.tolist()], pa.list_(pa.float64())), pa.array([np.ascontiguousarray(held.cross).tobytes()], pa.binary())], names=["n", "mean", "cross"])
 
-    for r in parts.coalesce(8).mapInArrow(merge, "n bigint, mean array<double>, cross binary").collect():
+    for r in parts.repartition(MERGES).mapInArrow(merge, "n bigint, mean array<double>, cross binary").collect():
         size = len(r["mean"])
         now = Moments(r["n"], np.array(r["mean"]), np.frombuffer(r["cross"]).reshape(size, size), p)
         total = now if total is None else total + now
