@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 def softmax(factors: DataFrame, by: list[str] | None = None) -> DataFrame:
     """factors (.., j, lbf) with alpha: probabilities within ``by``."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    e = F.exp(F.col("lbf") - F.max("lbf").over(w))
-    return factors.withColumn("alpha", e / F.sum(e).over(w))
+    if by:
+        w = Window.partitionBy(*by)
+        e = F.exp(F.col("lbf") - F.max("lbf").over(w))
+        return factors.withColumn("alpha", e / F.sum(e).over(w))
+    # over all rows: two aggregates of one row each, so no task gets every covariate
+    top = F.broadcast(factors.agg(F.max("lbf").alias("top")))
+    total = F.broadcast(factors.join(top).agg(F.max("top").alias("top"), F.sum(F.exp(F.col("lbf") - F.col("top"))).alias("total")))
+    return factors.join(total).withColumn("alpha", F.exp(F.col("lbf") - F.col("top")) / F.col("total")).drop("top", "total")
 
 
 def pip(effects: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Matrix cells that are broadcast; larger matrices are joined by shuffle.
+MAX_BROADCAST_CELLS = 2_000_000
 #: Rows of a numpy pass, and tasks that merge the partitions' partials.
 ROWS, MERGES = 4096, 16
 
@@ -139,7 +141,7 @@ def marginal(design: DataFrame, curves: DataFrame, n: int, *, sigma2: float | No
     d = float(n - 1)
     sd = F.when(F.col("y_sd") > 0, F.col("y_sd")).otherwise(1.0)
     slope = (F.col("xy") - n * F.col("x_mean") * F.col("y_mean")) / (F.col("x_sd") * sd) / d
-    out = products.join(F.broadcast(x_stats), "j").join(y_stats, "t").withColumn("bhat", slope)
+    out = products.join(x_stats, "j").join(y_stats, "t").withColumn("bhat", slope)
     square = F.when(F.col("y_sd") > 0, F.lit(d)).otherwise(0.0)
     se = F.sqrt(F.greatest(F.lit(0.0), square - F.col("bhat") ** 2 * d) / d / d) if sigma2 is None else F.lit(float(np.sqrt(sigma2 / d)))
     out = out.select("j", "t", "bhat", F.greatest(F.lit(1e-32), se).alias("shat"))
@@ -194,7 +196,8 @@ def transformed(curves: DataFrame, matrix: np.ndarray) -> DataFrame:
     c, t = np.nonzero(np.abs(matrix) > 1e-14)
     spark = curves.sparkSession
     cells = spark.createDataFrame(pa.table({"c": pa.array(c + 1, pa.int32()), "t": pa.array(t + 1, pa.int32()), "m": pa.array(matrix[c, t])}))
-    return curves.join(F.broadcast(cells), "t").groupBy("id", "c").agg(F.sum(F.col("m") * F.col("y")).alias("w"))
+    cells = F.broadcast(cells) if len(c) <= MAX_BROADCAST_CELLS else cells
+    return curves.join(cells, "t").groupBy("id", "c").agg(F.sum(F.col("m") * F.col("y")).alias("w"))
 
 
 def rounded(column: Column, digits: int = 6) -> Column:

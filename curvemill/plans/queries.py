@@ -93,7 +93,7 @@ def _correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = mo.varying(design, n).where("kept")
     a, b = (s.select(F.col("j").alias(k), F.col("mean").alias(f"m{k}"), F.sqrt("var").alias(f"s{k}")) for k in ("j", "k"))
     same = F.col("j") == F.col("k")
-    return a.join(F.broadcast(b)).select("j", "k", F.when(same, 1.0).otherwise(-F.col("mj") * F.col("mk") * n / (n - 1) / (F.col("sj") * F.col("sk"))).alias("r"))
+    return a.join(b, F.lit(True)).select("j", "k", F.when(same, 1.0).otherwise(-F.col("mj") * F.col("mk") * n / (n - 1) / (F.col("sj") * F.col("sk"))).alias("r"))
 
 
 # input preparation
@@ -383,7 +383,7 @@ def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _after(fixed: DataFrame, correlations: DataFrame) -> DataFrame:
     """(j, t, v): correlations @ effects."""
     other = fixed.select(F.col("j").alias("k"), "t", "f")
-    return other.join(F.broadcast(correlations), "k").groupBy("j", "t").agg(F.sum(F.col("r") * F.col("f")).alias("v"))
+    return other.join(correlations, "k").groupBy("j", "t").agg(F.sum(F.col("r") * F.col("f")).alias("v"))
 
 
 @query(f"WITH {_FIXED}, xf AS (SELECT r.j, t, sum(r * f) AS v FROM r JOIN fx ON fx.j = r.k GROUP BY ALL) SELECT b.j, b.t, round(bhat - v, 6) + 0.0 AS partial FROM b JOIN xf ON b.j = xf.j AND b.t = xf.t")
