@@ -75,40 +75,41 @@ class WordTokenizer:
             if all(c in byte_of for c in token.removesuffix(END_MARK)) and (rank := ranks.get(spelt(token))) is not None:
                 self.id_of[rank], self.ends[rank] = k, token.endswith(END_MARK)
         self.path, self.slow, self.unit, self.hasher = path, None, regex.compile(UNIT), Hasher(5)
-        odd = np.ones(256, bool)
-        odd[33:127] = odd[0xC3] = odd[0x80:0xC0] = False
-        self.odd = odd
+        self.odd, self.mark = np.ones(256, bool), np.ones(256, bool)
+        self.odd[33:127] = self.odd[0xC3] = self.odd[0x80:0xC0] = False
+        self.mark[65:91] = self.mark[97:123] = self.mark[0x80:0xC0] = self.mark[0xC3] = False
         self._clear()
 
     def _clear(self) -> None:
         # word 0 is a document's end
         self.slot, self.start, self.size, self.flat, self.used = {}, np.zeros(1024, np.int64), np.ones(1024, np.int64), np.full(4096, END_ID, np.uint32), 1
 
-    def encode_words(self, words: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in turn, number of each word's)."""
-        parts: list[np.ndarray | None] = [None] * len(words)
-        at = np.flatnonzero(plain)
-        units = [self.unit.findall(words[i].lower()) for i in at]
-        if units:
-            ranks = np.array(self.fast.encode_ordinary("".join(" ".join(u) + " " for u in units)), np.int64)
-            last = np.flatnonzero(self.ends[ranks])[np.cumsum([len(u) for u in units]) - 1]
-            for i, ids in zip(at, np.split(self.id_of[ranks].astype(np.uint32), last[:-1] + 1), strict=True):
-                parts[i] = ids
-        rest = np.flatnonzero(~plain)
-        if len(rest):
-            if self.slow is None:
-                from tokenizers import Tokenizer
-
-                self.slow = Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True
-            for i, e in zip(rest, self.slow.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-                parts[i] = np.array(e.ids, np.uint32)
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array([len(p) for p in parts], np.int64)
-
-    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+    def _fast(self, text: str, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each word's): text is lower-cased units, each followed by a space; units: how many each word has."""
+        ranks = np.array(self.fast.encode_ordinary(text), np.int64)
+        last = np.flatnonzero(self.ends[ranks])[np.cumsum(units) - 1] + 1
+        return self.id_of[ranks].astype(np.uint32), np.diff(last, prepend=0)
+
+    def _words(self, words: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, number of each word's). kind: 0 of letters only, so one unit each; 1 plain; 2 any."""
+        if kind == 0:
+            return self._fast(b" ".join(words).decode().lower() + " ", np.ones(len(words), int))
         text = [w.decode() for w in words]
-        plain = np.array([not self.odd[np.frombuffer(w, np.uint8)].any() for w in words], bool)
-        ids, sizes = self.encode_words(text, plain)
+        if kind == 1:
+            units = [self.unit.findall(w.lower()) for w in text]
+            return self._fast("".join(" ".join(u) + " " for u in units), np.array([len(u) for u in units]))
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        found = [e.ids for e in self.slow.encode_batch_fast(text, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def _learn(self, keys: list[int], words: list[bytes], kind: int) -> None:
+        if not keys:
+            return
+        ids, sizes = self._words(words, kind)
         first, end = len(self.slot) + 1, self.used + len(ids)
         while first + len(keys) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
@@ -120,6 +121,16 @@ class WordTokenizer:
         self.slot.update(zip(keys, range(first, first + len(keys)), strict=True))
         self.used = end
 
+    def _kinds(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        mark = self.mark[data]
+        mark[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the two signs among the letters
+        within = []
+        for flag in (mark, self.odd[data]):
+            sums = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(flag, out=sums[1:])
+            within.append(sums[ends] > sums[starts])
+        return np.where(within[1], 2, np.where(within[0], 1, 0))
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in turn, each row's closed by END_ID; where each row's begin and the last ends)."""
         starts, ends, rows = runs(~SPACE[data], offsets)
@@ -127,10 +138,13 @@ class WordTokenizer:
         names = keys.tolist()
         if len(self.slot) + len(names) > CACHE_WORDS:
             self._clear()
-        new = [i for i, k in enumerate(names) if k not in self.slot]
-        if new:
-            raw = data.tobytes()
-            self._learn([names[i] for i in new], [raw[starts[first[i]] : ends[first[i]]] for i in new])
+        new = np.array([i for i, k in enumerate(names) if k not in self.slot], np.int64)
+        if len(new):
+            raw, a, b = data.tobytes(), starts[first[new]], ends[first[new]]
+            kinds = self._kinds(data, a, b)
+            for kind in (0, 1, 2):
+                own = np.flatnonzero(kinds == kind)
+                self._learn([names[i] for i in new[own]], [raw[i:j] for i, j in zip(a[own].tolist(), b[own].tolist(), strict=True)], kind)
         slots = np.array([self.slot[k] for k in names], np.int64)[back] if names else np.zeros(0, np.int64)
         n = len(offsets) - 1
         slots = np.insert(slots, np.searchsorted(rows, np.arange(n), side="right"), 0)  # each row's end
