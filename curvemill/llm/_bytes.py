@@ -6,6 +6,7 @@ few numpy passes over one buffer, so Python is never entered for a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def small_batches(spark) -> None:
+    """Arrow batches of 16 MB at most, where the session has the default of 64 MB: a task holds several at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(16 << 20))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK, rows: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets): batches cut where ``limit`` bytes or ``rows`` rows of text are reached."""
     for batch in batches:
@@ -64,6 +81,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK, row
             part = batch.slice(at, to - at)
             yield part, *buffers(part.column(part.schema.get_field_index(text)))
             at = to
+        batch = column = part = None
+        release()
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

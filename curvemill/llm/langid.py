@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import CHUNK, LETTER, LOWER, chunks, counted
+from ._bytes import CHUNK, LETTER, LOWER, chunks, counted, small_batches
 
 #: Hash buckets of the n-grams.
 BUCKETS = 4096
 #: The classifiers are fitted on at most about this many labelled documents, the same number of each language.
 SAMPLE_ROWS = 3000
 #: Rows of one numpy pass: its counts take BUCKETS * 4 bytes a row.
-PASS_ROWS = 2048
+PASS_ROWS = 512
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -156,6 +156,7 @@ def predicted(docs: DataFrame, model: Model, *, text: str = "text", keep: list[s
     every text of a model without languages.
     """
     keep = ["doc_id"] if keep is None else keep
+    small_batches(docs.sparkSession)
     names = np.array([*model.languages, "und"], dtype=object)
 
     def run(batches):

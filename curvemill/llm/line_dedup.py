@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path, written
-from ._bytes import LOWER, Hasher, chunks, lines, mix, stripped
+from ._bytes import LOWER, Hasher, chunks, lines, mix, small_batches, stripped
 
 #: Keys in a shard, on average.
 SHARD_KEYS = 1 << 20
@@ -252,6 +252,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_
     once. Columns of docs named n_lines or n_dropped are replaced; other columns
     and repeated rows are kept as they are.
     """
+    small_batches(docs.sparkSession)
     own = docs.drop("n_lines", "n_dropped")
     folder, n_shards = build_index(line_counts(own, text=text, min_chars=min_chars), min_docs=min_docs)
     schema = T.StructType([*own.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

@@ -28,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from ._bytes import CHUNK, LOWER, SPACE, Hasher, chunks, mix, runs
+from ._bytes import CHUNK, LOWER, SPACE, Hasher, chunks, mix, release, runs, small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Up to this many ids of texts to verify are broadcast, so that other texts aren't shuffled.
 MAX_BROADCAST_IDS = 2_000_000
-#: Rows of a block in which the rest of a band is compared.
-BLOCK = 512
+#: Rows of a block in which the rest of a band is compared, and shingles of its sets, on average.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Texts that are sketched in one pass; each takes some 1,300 darts of about 100 bytes.
+SKETCH_ROWS = 512
 #: Rank from which regions double; below is one region.
 FIRST_RANK = -10
 _U = np.uint64
@@ -136,7 +138,7 @@ def sketches(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width:
 
     def run(batches):
         hasher, poisson = Hasher(6), _Poisson()
-        for part, data, offsets in chunks(batches, "text"):
+        for part, data, offsets in chunks(batches, "text", rows=SKETCH_ROWS):
             h, row, count = shingles(data, offsets, hasher, width)
             w = count.astype(float) if weighting == "count" else np.ones(len(h))
             sig = signatures(h, w, row, part.num_rows, k, poisson)
@@ -175,6 +177,7 @@ def _verifying(width: int, least: float, weighting: str):
                 total = np.bincount(row, weights=w, minlength=part.num_rows) - common
                 linked = common >= least * total - 1e-9
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked)), part.column(1).filter(pa.array(linked))], names=["x", "y"])
+            release()
 
     return run
 
@@ -288,9 +291,11 @@ def _shingled(width: int, weighting: str):
     return run
 
 
-def _dealt(rows: DataFrame, block: int) -> DataFrame:
+def _dealt(rows: DataFrame, block: int, shingles: int | None = None) -> DataFrame:
     """rows with a band's members dealt into blocks, and each block with each: columns i, j, chunk."""
-    size = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    need = F.ceil(F.count(F.lit(1)) / block)
+    need = need if shingles is None else F.greatest(need, F.ceil(F.sum("n") / shingles))
+    size = rows.groupBy("band").agg(need.cast("int").alias("blocks"))
     own = rows.join(size, "band").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return own.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("blocks", "other")
@@ -303,6 +308,7 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width:
     Texts with the same few words (fewer than the width), and all texts without words (null, empty, blank), are copies of each other.
     Rows with a null key have a null class; rows that share a key are one document.
     """
+    small_batches(docs.sparkSession)
     options = {"text": text, "key": key, "width": width, "weighting": weighting}
     own = docs.select(key, text)
     seen = written(sketches(own, bands=bands, rows=rows, **options), "sketches")
@@ -334,7 +340,7 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width:
         found = blocks.groupBy("band", "i", "j").applyInArrow(_promising(bands * rows, rows, least), f"band bigint, rep {kind}, n bigint, root {kind}")
         found = written(found.distinct(), "promising")
         sets = _texts(own, found.select(F.col("rep").alias("id")), text, key).mapInArrow(_shingled(width, weighting), f"rep {kind}, set binary, counts binary")
-        blocks = _dealt(found, BLOCK).join(sets.hint("merge"), "rep")
+        blocks = _dealt(found, BLOCK, BLOCK_SHINGLES).join(sets.hint("merge"), "rep")
         more = blocks.groupBy("band", "i", "j").applyInArrow(_joined(least), f"x {kind}, y {kind}")
         root = components(links.unionByName(written(more.distinct(), "more-links")))
     whole = member.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"))

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import SPACE, Hasher, chunks, runs
+from ._bytes import SPACE, Hasher, chunks, runs, small_batches
 
 WINDOW = 2048
 #: Id after each document's own.
 END_ID = 1
 GROUP_ROWS = 4096
 #: Distinct words whose ids a task keeps; then it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 #: How the tokenizer file splits a lower-cased text into the units that its merges work on, and its mark of a unit's end.
 UNIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -160,6 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: list[st
 
     tokenizer: path of the file on every machine. A null or empty text is the end id alone.
     """
+    small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
 
     def run(batches):

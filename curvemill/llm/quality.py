@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from ._bytes import LETTER, SPACE, Hasher, _table, chunks, counted, lines, mix, runs, windows
+from ._bytes import LETTER, SPACE, Hasher, _table, chunks, counted, lines, mix, runs, small_batches, windows
 
 SYMBOLS = _table(b"#*$%&|<>")
 UPPER = _table(bytes(range(65, 91)))
@@ -95,6 +95,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, hashers: tuple[Hasher, Hasher
 
 def features(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and FEATURES (bigint) of every document. A null text has no words."""
+    small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
 
     def run(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from ._bytes import LOWER, SPACE, Hasher, _table, chunks, runs
+from ._bytes import LOWER, SPACE, Hasher, _table, chunks, runs, small_batches
 
 #: Fixed word lists of the grammar, in English, French, German and Spanish.
 THREATS = "kill hurt destroy murder beat tuer frapper détruire töten schlagen vernichten matar golpear destruir".split()
@@ -314,6 +314,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Kept columns, score (0 to 1), total, worst_clause, n_clauses of every document. Null and empty texts match nothing and get the lowest score."""
+    small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
 
     def run(batches):
