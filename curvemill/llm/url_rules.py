@@ -58,7 +58,7 @@ def curated(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a url: scheme, host, its parents, its labels, path parts, file type, query keys, fragment.
+    """Distinct tokens of a url: scheme, host, its parents, its first label, path parts, file type, query keys, fragment.
 
     Runs of digits become 0, so that article numbers don't make tokens of their own. A null url has none.
     """
@@ -66,7 +66,7 @@ def tokens(url: Column) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.when(host != "", F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(labels, i, n), "."))))
-    names = F.when(host != "", F.transform(labels, lambda x: F.concat(F.lit("label="), x)))
+    names = F.when(host != "", F.array(F.concat(F.lit("label="), labels[0])))
     parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path="), F.regexp_replace(F.translate(x, UPPER, LOWER), "[0-9]+", "0")))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.regexp_extract(x, "^([^=]*)", 1)))
@@ -76,7 +76,7 @@ def tokens(url: Column) -> Column:
     return F.when(url.isNull(), none).otherwise(F.array_distinct(F.concat(scheme, *(F.coalesce(x, none) for x in (parents, names, parts, keys, mark)))))
 
 
-def mine(labelled: DataFrame, *, min_support: float = 0.001, min_confidence: float = 0.6, partitions: int | None = None) -> DataFrame:
+def mine(labelled: DataFrame, *, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 10, partitions: int | None = None) -> DataFrame:
     """Rules (items, anchor, support, confidence) from rows (url, bad boolean).
 
     FP-growth runs on url tokens plus a token for the label. A rule is an
@@ -85,10 +85,12 @@ def mine(labelled: DataFrame, *, min_support: float = 0.001, min_confidence: flo
     (tokens per url / min_support) items are frequent, which bounds what
     FP-growth keeps on the driver whatever the input's size.
 
+    A rule must also be seen in ``min_rows`` rows, else every combination of a small input's tokens would be frequent.
     Rows with a null url or label take no part. An empty input gives no rules.
     """
     rows = labelled.where("url is not null and bad is not null").select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    grower = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
+    support = min(1.0, max(min_support, min_rows / max(1, rows.count())))
+    grower = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence)
     if partitions:
         grower = grower.setNumPartitions(partitions)
     sets = grower.fit(rows).freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
