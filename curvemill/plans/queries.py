@@ -481,6 +481,35 @@ def hmm_binary_loglik_grid(spark, sf_dir):
     return seq.select("j", "q", r6(F.aggregate(F.slice("o", 2, 11), start, step, lambda a: F.log(a["a0"] + a["a1"])), 5).alias("log_lik"))
 
 
+@query()
+def hmm_binary_loglik(spark, sf_dir):
+    """(j, q, log_lik): the likelihood of all 64 points of each slope curve, two levels, 0 and 0.05, at each of ``hmm.fit_binary``'s 501 flip probabilities."""
+    b = _marginal(spark, sf_dir)
+
+    def run(key, part):
+        part = part.sort_by("t")
+        y, se = part.column("bhat").to_numpy(), part.column("shat").to_numpy()
+        q = np.linspace(0, 0.5, 501)
+        levels = [hmm.binary_log_likelihood(y, se, (0.0, 0.05), v, np.zeros(len(y), int)) for v in q]
+        return pa.table({"j": pa.array(np.full(len(q), part.column("j")[0].as_py()), pa.int32()), "q": pa.array(q), "log_lik": pa.array(levels)})
+
+    return b.groupBy("j").applyInArrow(run, "j int, q double, log_lik double")
+
+
+@query()
+def hmm_binary_fit(spark, sf_dir):
+    """(seq, t, flip_probability, log_likelihood, upper_probability, state): ``hmm.fit_binary`` on all points of every slope curve, levels 0 and 0.05."""
+    b = _marginal(spark, sf_dir)
+
+    def run(key, part):
+        part = part.sort_by("t")
+        fit = hmm.fit_binary(part.column("bhat").to_numpy(), part.column("shat").to_numpy(), (0.0, 0.05))
+        n = part.num_rows
+        return pa.table({"seq": part.column("j"), "t": part.column("t"), "flip_probability": pa.array(np.full(n, fit["flip_probability"])), "log_likelihood": pa.array(np.full(n, fit["log_likelihood"])), "upper_probability": pa.array(fit["state_probability"][:, 1]), "state": pa.array(fit["viterbi_state"], pa.int32())})
+
+    return b.groupBy("j").applyInArrow(run, "seq int, t int, flip_probability double, log_likelihood double, upper_probability double, state int")
+
+
 @query()
 def hmm_posterior(spark, sf_dir):
     """(seq, t, mean, sd, lfsr, state, step_state): every covariate's slope curve smoothed, a sequence in each task."""

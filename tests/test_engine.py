@@ -3,13 +3,14 @@
 import numpy as np
 import pytest
 
+from curvemill.functions import hmm
 from curvemill.functions import mixture as mx
 from curvemill.functions import wavelets as wv
 from curvemill.operators import credible as cr
 from curvemill.operators import moments as mo
 from curvemill.operators.moments import Moments, partial
 from curvemill.plans import finemap as fm
-from curvemill.plans import regression, report, simulate, smoothing
+from curvemill.plans import queries, regression, report, simulate, smoothing
 from curvemill.plans.finemap import FunctionalFineMapper
 from curvemill.streaming.moments_stream import MomentsSink, windowed_bins
 
@@ -198,3 +199,27 @@ def test_smoothers_on_a_known_signal():
     assert len(smoothing.smooth_signal(y[:100], np.ones(100))[0]) == 100
     x, _, part = mx.shrink(np.concatenate([np.zeros(90), np.full(10, 8.0)]), np.ones(100))
     assert abs(x[95] - 8) < 0.5 and abs(x[5]) < 0.05 and abs(part.weight.sum() - 1) < 1e-9
+
+
+def test_binary_chain_of_all_points(spark, sf, monkeypatch):
+    """Every point counts, at each of the operator's flip probabilities; short curves against all paths."""
+    b = queries.QUERIES["marginal_slope"](spark, sf).toPandas()
+    got = queries.QUERIES["hmm_binary_loglik"](spark, sf).toPandas()
+    assert sorted(got.j.unique()) == sorted(b.j.unique()) and (got.groupby("j").q.nunique() == 501).all() and got.q.min() == 0 and got.q.max() == 0.5
+    fit = queries.QUERIES["hmm_binary_fit"](spark, sf).toPandas()
+    assert (fit.groupby("seq").t.nunique() == 64).all()
+    best = fit.groupby("seq").log_likelihood.first()
+    assert (best >= got.groupby("j").log_lik.max() - 1e-9).all()
+    rng = np.random.default_rng(4)
+    y, se = rng.normal(size=14) * 0.1, np.full(14, 0.05)
+    short = spark.createDataFrame([(0, t + 1, float(y[t]), 0.05) for t in range(14)], "j int, t int, bhat double, shat double")
+    monkeypatch.setattr(queries, "_marginal", lambda *_: short)
+    paths = (np.arange(1 << 14)[:, None] >> np.arange(14)) & 1
+    dens = -0.5 * np.log(2 * np.pi * se**2) - 0.5 * ((y - 0.05 * paths) / se) ** 2
+    flips = (paths[:, 1:] != paths[:, :-1]).sum(1)
+    own = queries.QUERIES["hmm_binary_loglik"](spark, sf).toPandas().set_index("q").log_lik
+    for q in (0.0, 0.1, 0.25, 0.5):
+        want = np.log(0.5 * (np.exp(dens.sum(1)) * q**flips * (1 - q) ** (13 - flips)).sum())
+        assert abs(own.iloc[round(q * 1000)] - want) < 1e-9
+    q = queries.QUERIES["hmm_binary_fit"](spark, sf).toPandas()
+    assert abs(q.log_likelihood[0] - hmm.fit_binary(y, se, (0.0, 0.05))["log_likelihood"]) < 1e-9 and len(q) == 14
