@@ -39,10 +39,14 @@ CLASSES = {THREAT: THREATS, TARGET: TARGETS, NEGATION: NEGATIONS, REPORT: REPORT
 SAMPLE_ROWS = 3000
 #: Characters of the word beginnings that may become terminals.
 STEMS = (4, 5, 6, 7, 8)
-#: A terminal must be in this share of the toxic documents, and in this many; half the share where no terminal of an earlier round is.
-MIN_SHARE, MIN_DOCS = 0.03, 5
+#: A terminal must be in this many toxic documents, near copies counted once, whatever share of the sample they are.
+MIN_DOCS = 5
 #: And that many times as likely in toxic documents as in others.
 MIN_ODDS = 20.0
+#: So many terms may be expected to pass by chance alone, of all that are tested.
+MAX_FALSE = 0.5
+#: Near copies agree in a band of BAND_ROWS minima of three-word sequences.
+BANDS, BAND_ROWS = 16, 3
 
 PUNCTUATION = _table(bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 CLAUSE_END = _table(b".!?;:,\n")
@@ -227,31 +231,84 @@ def _found(bad_docs: DataFrame, weight: dict[tuple[int, int], float], widths: li
     return bad_docs.select("text", F.xxhash64("text").alias("doc")).mapInArrow(run, "width int, term bigint, word bigint, doc bigint").toArrow()
 
 
-def _chosen(found: pa.Table, n_bad: int) -> list[tuple[int, int]]:
-    """Terminals in rounds: those in enough of the documents that earlier rounds leave unexplained.
+def _copies(bad_docs: DataFrame) -> dict[int, int]:
+    """Group of near copies of each document in a bounded sample of toxic documents; a document without copies is a group of its own.
 
-    A word beginning counts only if no single word brings most of its documents; else that word is the terminal.
+    Words that documents share only because one was copied from the other say nothing about toxicity.
+    """
+    rng = np.random.default_rng(7)
+    odd, shift = (rng.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
+
+    def run(batches):
+        hasher = Hasher(8)
+        for part, data, offsets in chunks(batches, "text"):
+            rows, hashes, _ = words_of(data, offsets, hasher)
+            if not len(rows):
+                continue
+            word, same = hashes[0], rows[1:] == rows[:-1]
+            before, after = np.zeros_like(word), np.zeros_like(word)
+            before[1:][same], after[:-1][same] = word[:-1][same], word[1:][same]
+            threes = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (word * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (after * np.uint64(0x165667B19E3779F9))
+            first = np.flatnonzero(np.append(True, ~same))
+            doc = part.column(1).to_numpy()[rows[first]]
+            for band in range(BANDS):
+                key = np.zeros(len(first), np.uint64)
+                for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+                    mixed = (threes ^ shift[k]) * (odd[k] | np.uint64(1))
+                    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mixed, first)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.full(len(doc), band, np.int32)), pa.array(key.view(np.int64))], names=["doc", "band", "key"])
+
+    rows = bad_docs.select("text", F.xxhash64("text").alias("doc")).mapInArrow(run, "doc bigint, band int, key bigint").toPandas()
+    docs, at = np.unique(rows["doc"].to_numpy(), return_inverse=True)
+    meet = rows.groupby(["band", "key"]).ngroup().to_numpy()
+    group = np.arange(len(docs))
+    while len(at):
+        least = np.full(meet.max() + 1, len(docs))
+        np.minimum.at(least, meet, group[at])
+        new = group.copy()
+        np.minimum.at(new, at, least[meet])
+        if (new == group).all():
+            break
+        group = new
+    return dict(zip(docs.tolist(), group.tolist(), strict=True))
+
+
+def _sure(bad: np.ndarray, good: np.ndarray, base: float, tested: int) -> np.ndarray:
+    """Terms in so many toxic and other documents that no more than MAX_FALSE of the tested ones are expected there by chance (Chernoff's bound)."""
+    share = bad / np.maximum(bad + good, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = bad * np.log(share / base) + np.where(good > 0, good * np.log((1 - share) / (1 - base)), 0.0)
+    return (share > base) & (np.exp(-apart) * tested <= MAX_FALSE)
+
+
+def _chosen(found: pa.Table, copies: dict[int, int], good: dict[tuple[int, int], int], base: float, tested: int) -> list[tuple[int, int]]:
+    """Terminals in rounds, until nothing new is found: those in MIN_DOCS of the documents that earlier rounds leave unexplained.
+
+    Near copies are one document. ``good`` has the other documents of each term, ``base`` the share of toxic documents. A word beginning counts only if no single word brings most of its documents; else that word is the terminal.
     """
     rows, out = found.to_pandas(), []
-    for turn in range(3):
-        docs = rows.groupby(["width", "term"])["doc"].nunique()
-        word = rows.groupby(["width", "term", "word"])["doc"].nunique().groupby(["width", "term"]).max()
-        enough = docs >= max(2 * MIN_DOCS if turn else MIN_DOCS, (MIN_SHARE / 2 if turn else MIN_SHARE) * n_bad)
+    rows["copy"] = rows["doc"].map(copies)
+    every = rows.groupby(["width", "term"])["copy"].nunique()
+    sure = every.index[_sure(every.to_numpy(float), np.array([good[k] for k in every.index], float), base, tested)]
+    rows = rows[rows.set_index(["width", "term"]).index.isin(sure)]
+    while True:
+        docs = rows.groupby(["width", "term"])["copy"].nunique()
+        word = rows.groupby(["width", "term", "word"])["copy"].nunique().groupby(["width", "term"]).max()
         form = (docs.index.get_level_values("width") == 0) | (word <= 0.6 * docs)
-        new = list(docs.index[enough & form])
+        new = list(docs.index[(docs >= MIN_DOCS) & form])
         if not new:
-            break
+            return out
         out += new
         taken = rows.set_index(["width", "term"]).index.isin(new)
         rows = rows[~rows["doc"].isin(rows.loc[taken, "doc"])]
-    return out
 
 
 def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic") -> Model:
     """Learn terminals and the logistic scale from a bounded sample of rows (text, label 0 or 1); null labels take no part.
 
-    Words that toxic documents merely share with their own near copies seldom reach MIN_SHARE of all toxic documents,
-    so they don't become terminals.
+    A terminal is judged by its own documents: MIN_DOCS toxic ones, MIN_ODDS and more than chance, so a rare language's or source's words are learnt too.
+    Words that toxic documents merely share with their own near copies don't count as support.
     """
     own = labelled.where(F.col(label).isNotNull()).select(F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
     widths = [0, *STEMS]
@@ -281,10 +338,13 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic") -> M
         each = distinct.mapInArrow(tally, "term bigint, width int, bad bigint, good bigint")
         odds = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
         overall = each.groupBy("term", "width").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("odds", odds)
-        strong = overall.where((F.col("bad") >= max(MIN_DOCS, MIN_SHARE / 4 * n_bad)) & (F.col("odds") >= MIN_ODDS)).select("term", "width", "odds").collect()
+        tested = written(overall.where(F.col("bad") >= MIN_DOCS).select("term", "width", "good", "odds"), "toxic-terms")
+        strong = tested.where(F.col("odds") >= MIN_ODDS).collect()
         fixed = set(fixed_terms(hasher)[0].view(np.int64).tolist())
         weight = {(r["width"], r["term"]): float(np.log(r["odds"])) for r in strong if r["term"] not in fixed}
-        terms = {k: weight[k] for k in _chosen(_found(distinct.where("label = 1"), weight, widths), n_bad)}
+        good = {(r["width"], r["term"]): r["good"] for r in strong}
+        bad_docs = distinct.where("label = 1")
+        terms = {k: weight[k] for k in _chosen(_found(bad_docs, weight, widths), _copies(bad_docs), good, n_bad / (n_bad + n_good), tested.count())}
     table = {}
     for width in widths:
         own_terms = sorted((np.int64(t).view(np.uint64), w) for (k, t), w in terms.items() if k == width)

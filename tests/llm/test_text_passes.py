@@ -195,6 +195,20 @@ def test_toxicity_learns_from_labels(make, spark, odd, none):
     assert (frame(toxicity.scored(odd, blank)).score < 0.5).all()
 
 
+def test_toxicity_learns_words_of_a_rare_language(make, spark):
+    """Twenty of 1,500 toxic documents have their own insult; near copies of one toxic document don't make its words insults."""
+    rows = [(i, prose(i, 20) + (" grubwort " if i < 1480 else " zotenfink ") + prose(i + 900, 10), "en", "s", 1) for i in range(1500)]
+    rows += [(i, prose(i, 30), "en", "s", 1) for i in range(1500, 3000)]
+    rows += [(4000 + i, prose(5000, 30) + " harmlos schlicht " + prose(5001, 30) + f" last{i} grubwort", "en", "s", 1) for i in range(30)]
+    docs = make(rows)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1500 or r[0] >= 4000)) for r in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    got = frame(toxicity.scored(docs, model)).set_index("doc_id").score >= 0.5
+    assert got[got.index < 1500].all() and not got[(got.index >= 1500) & (got.index < 3000)].any()
+    other = frame(toxicity.scored(make([(1, "harmlos schlicht", "en", "s", 1), (2, "zotenfink", "en", "s", 1)]), model)).set_index("doc_id").total
+    assert other[1] == 0 and other[2] > 0
+
+
 # packing
 
 def test_tokens_are_the_librarys():
