@@ -1,7 +1,7 @@
 """URL filters: curated host/path rules, then mined association rules.
 
 Curated rules decide first (longest fitting rule wins). For every other url
-the verdict comes from rules that FP-growth mined from labelled urls: token
+the verdict comes from rules mined level by level from labelled urls: token
 combinations that go with the label "bad" often enough (support) and surely
 enough (confidence). Mined rules are matched through an inverted index: each
 rule hangs on its rarest token, so a url only meets rules that share that token.
@@ -11,14 +11,18 @@ All of it is DataFrame code: no Python runs on the executors.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BAD = "y:bad"
+#: A rule must have this many bad rows, whatever the input's size.
+MIN_ROWS = 4
 
 
 @dataclass(frozen=True)
@@ -58,7 +62,7 @@ def curated(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a url: scheme, host, its parents, its first label, path parts, file type, query keys, fragment.
+    """Distinct tokens of a url: scheme, host, its parents, its labels, path parts, file type, query keys, fragment.
 
     Runs of digits become 0, so that article numbers don't make tokens of their own. A null url has none.
     """
@@ -66,7 +70,7 @@ def tokens(url: Column) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.when(host != "", F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(labels, i, n), "."))))
-    names = F.when(host != "", F.array(F.concat(F.lit("label="), labels[0])))
+    names = F.when(host != "", F.transform(labels, lambda x: F.concat(F.lit("label="), x)))
     parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path="), F.regexp_replace(F.translate(x, UPPER, LOWER), "[0-9]+", "0")))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.regexp_extract(x, "^([^=]*)", 1)))
@@ -76,29 +80,54 @@ def tokens(url: Column) -> Column:
     return F.when(url.isNull(), none).otherwise(F.array_distinct(F.concat(scheme, *(F.coalesce(x, none) for x in (parents, names, parts, keys, mark)))))
 
 
-def mine(labelled: DataFrame, *, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 10, partitions: int | None = None) -> DataFrame:
-    """Rules (items, anchor, support, confidence) from rows (url, bad boolean).
+def _free(rows: DataFrame, single: DataFrame, floor: int) -> DataFrame:
+    """(set, n, b): token sets in ``floor`` bad rows or more, in fewer rows than any of their subsets; none above a set whose rows are all bad.
 
-    FP-growth runs on url tokens plus a token for the label. A rule is an
-    itemset X for which X with the label is frequent and holds often enough;
-    rules no surer than one of their subsets are dropped. At most about
-    (tokens per url / min_support) items are frequent, which bounds what
-    FP-growth keeps on the driver whatever the input's size.
+    What is left out is no surer than one of its subsets: a host implies its parents and labels, so it is never combined with them.
+    ``rows`` (ids, n, b) are distinct sets of the ids of ``single`` with their rows and bad rows. A level's sets are one id larger than those before.
+    """
+    alive = single.select(F.array("id").alias("set"), "n", "b")
+    out, grow = [alive], alive.where("b < n")
+    known = grow.select(F.col("set")[0].alias("id"))
+    own = rows.select(F.xxhash64("ids").alias("row"), "n", "b", F.explode("ids").alias("id")).join(known, "id").groupBy("row", "n", "b").agg(F.sort_array(F.collect_list(F.array("id"))).alias("sets"))
+    size = 1
+    while True:
+        own = written(own.where(F.size("sets") > 1), f"url-sets-{size}")
+        mates = lambda x, i: F.filter(F.slice("sets", i + 2, F.size("sets")), lambda y: F.slice(y, 1, size - 1) == F.slice(x, 1, size - 1))  # noqa: B023, E731
+        wider = F.flatten(F.transform("sets", lambda x, i: F.transform(mates(x, i), lambda y: F.concat(x, F.slice(y, -1, 1)))))
+        seen = own.select("row", "n", "b", F.explode(wider).alias("set"))
+        found = seen.groupBy("set").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= floor)
+        parts = F.transform(F.sequence(F.lit(0), F.lit(size)), lambda i: F.filter("set", lambda _, j: j != i))
+        below = found.select("set", "n", "b", F.explode(parts).alias("part")).join(grow.select(F.col("set").alias("part"), F.col("n").alias("part_n")), "part")
+        alive = below.groupBy("set", "n", "b").agg(F.count(F.lit(1)).alias("parts"), F.min("part_n").alias("least")).where((F.col("parts") == size + 1) & (F.col("n") < F.col("least")))
+        alive = written(alive.select("set", "n", "b"), f"url-free-{size}")
+        out.append(alive)
+        grow = alive.where("b < n")
+        if grow.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        own = seen.join(grow.select("set"), "set").groupBy("row", "n", "b").agg(F.sort_array(F.collect_list("set")).alias("sets"))
+        size += 1
+
+
+def mine(labelled: DataFrame, *, min_rows: int = MIN_ROWS, min_confidence: float = 0.6, min_support: float = 0.0) -> DataFrame:
+    """Rules (items, anchor, support, confidence) from rows (url, bad boolean).
 
-    A rule must also be seen in ``min_rows`` rows, else every combination of a small input's tokens would be frequent.
-    Rows with a null url or label take no part. An empty input gives no rules.
+    A rule is a set of url tokens that is in ``min_rows`` bad rows or more (and in the share ``min_support`` of all
+    rows, if given) and goes with the label often enough; rules no surer than one of their subsets are dropped.
+    Sets grow level by level over distinct token sets; counts and rules stay distributed, the driver holds none.
+    Tokens are met by 64-bit hash. Rows with a null url or label take no part. An empty input gives no rules.
     """
-    rows = labelled.where("url is not null and bad is not null").select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    support = min(1.0, max(min_support, min_rows / max(1, rows.count())))
-    grower = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence)
-    if partitions:
-        grower = grower.setNumPartitions(partitions)
-    sets = grower.fit(rows).freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
-    with_label = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("n").alias("n_bad"))
-    rules = with_label.join(sets, "items").withColumn("confidence", F.col("n_bad") / F.col("n")).where(F.col("confidence") >= min_confidence)
-    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("n").alias("item_n"))
-    rare = rules.select("items", F.explode("items").alias("item")).join(single, "item").groupBy("items").agg(F.min(F.struct("item_n", "item")).alias("least"))
-    index = rules.join(rare, "items").select("items", F.col("least.item").alias("anchor"), F.col("n_bad").alias("support"), "confidence")
+    each = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b"))
+    each = written(each.select(F.xxhash64("url").alias("row"), "n", "b", tokens(F.col("url")).alias("items")), "url-rows")
+    floor = max(1, min_rows, math.ceil(min_support * (each.agg(F.sum("n")).first()[0] or 0)))
+    single = each.select(F.explode("items").alias("item"), "n", "b").groupBy("item").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= floor)
+    single = written(single.withColumn("id", F.xxhash64("item")), "url-tokens")
+    kept = each.select("row", "n", "b", F.explode("items").alias("item")).join(single.select("item", "id"), "item").groupBy("row", "n", "b").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    sets = _free(kept.groupBy("ids").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), single, floor)
+    sure = sets.withColumn("confidence", F.col("b") / F.col("n")).where(F.col("confidence") >= min_confidence)
+    named = sure.select("set", F.col("b").alias("support"), "confidence", F.explode("set").alias("id")).join(single.select("id", "item", F.col("n").alias("item_n")), "id")
+    rules = named.groupBy("set", "support", "confidence").agg(F.array_sort(F.collect_list("item")).alias("items"), F.min(F.struct("item_n", "item")).alias("least"))
+    index = written(rules.select("items", F.col("least.item").alias("anchor"), "support", "confidence"), "url-rules")
     wide = index.select(F.col("items").alias("wide"), F.col("confidence").alias("wide_confidence"), F.explode("items").alias("anchor"))
     beaten = wide.join(index, "anchor").where((F.size("items") < F.size("wide")) & (F.size(F.array_except("items", "wide")) == 0) & (F.col("confidence") >= F.col("wide_confidence"))).select(F.col("wide").alias("items")).distinct()
     return index.join(beaten, "items", "left_anti")

@@ -3,6 +3,7 @@
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -133,6 +134,23 @@ def test_mined_rules_match_brute_force(spark):
     assert set(hit.url) == want and any("bets" in u for u in want)
 
 
+def test_mined_rules_are_all_that_four_bad_rows_support(spark):
+    """A fixed count of bad rows in a large input, and a label that is spread over hosts; all rules against all subsets of tokens."""
+    urls = [f"http://{'www' if i % 2 else 'm'}.free-bets{'.net' if i % 3 else '.com'}/{'ab'[i % 2]}" for i in range(6)] + [f"http://spam.example.com/{i}/{'en' if i % 2 else 'de'}" for i in range(6)]
+    urls += [f"http://{'www' if i % 2 else 'm'}.h{i % 400}.{'net' if i % 3 else 'com'}/{'ab'[i % 2]}" for i in range(12_000)]
+    bad = [True] * 6 + [i < 4 for i in range(6)] + [False] * 12_000
+    labelled = spark.createDataFrame(list(zip(urls, bad, strict=True)), "url string, bad boolean")
+    rules = {tuple(r["items"]): (r["support"], r["confidence"]) for r in url_rules.mine(labelled).collect()}
+    assert rules[("label=free-bets",)] == (6, 1.0) and rules[("host=spam.example.com",)] == (4, 4 / 6)
+    rows = [(frozenset(t.t), t.bad) for t in labelled.select(url_rules.tokens(labelled.url).alias("t"), "bad").collect()]
+    sets = {frozenset(c) for t, b in rows if b for k in range(1, len(t) + 1) for c in combinations(sorted(t), k)}
+    few = Counter(rows)
+    count = {c: (sum(n for (t, b), n in few.items() if b and c <= t), sum(n for (t, _), n in few.items() if c <= t)) for c in sets}
+    good = {c: b / n for c, (b, n) in count.items() if b >= 4 and b / n >= 0.6}
+    want = {c: v for c, v in good.items() if not any(x < c and good[x] >= v for x in good)}
+    assert {frozenset(k): v[1] for k, v in rules.items()} == want
+
+
 # top-k
 
 def test_top_k_matches_brute_force(spark):
