@@ -534,7 +534,7 @@ def finemap_pip(spark, sf_dir):
 
 @query()
 def finemap_curves(spark, sf_dir):
-    fit = FunctionalFineMapper(effects=3).fit(views.embedding_rows(spark, sf_dir))
+    fit = FunctionalFineMapper().fit(views.embedding_rows(spark, sf_dir))
     return fit.curves_table(spark)
 
 
@@ -542,13 +542,13 @@ def finemap_curves(spark, sf_dir):
 def finemap_regions(spark, sf_dir):
     """The curves in four regions, each fitted in one task."""
     rows = views.embedding_rows(spark, sf_dir).withColumn("region", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int"))
-    return FunctionalFineMapper(effects=2, start_effects=2).fit_by_region(rows, "region")
+    return FunctionalFineMapper().fit_by_region(rows, "region")
 
 
 @query()
 def individual_fits(spark, sf_dir):
     rows = views.embedding_rows(spark, sf_dir)
-    return FunctionalFineMapper(effects=2, start_effects=2).fit(rows).fitted_rows(rows, "id")
+    return FunctionalFineMapper().fit(rows).fitted_rows(rows, "id")
 
 
 @query()

@@ -223,3 +223,13 @@ def test_binary_chain_of_all_points(spark, sf, monkeypatch):
         assert abs(own.iloc[round(q * 1000)] - want) < 1e-9
     q = queries.QUERIES["hmm_binary_fit"](spark, sf).toPandas()
     assert abs(q.log_likelihood[0] - hmm.fit_binary(y, se, (0.0, 0.05))["log_likelihood"]) < 1e-9 and len(q) == 14
+
+
+def test_registered_fits_have_room_for_all_effects(spark, sf, monkeypatch):
+    """The queries fit up to the operator's default number of effects."""
+    seen = []
+    for name in ("fit", "fit_by_region"):
+        monkeypatch.setattr(FunctionalFineMapper, name, lambda self, *a, f=getattr(FunctionalFineMapper, name), **b: seen.append(self.settings.effects) or f(self, *a, **b))
+    for name in ("finemap_curves", "finemap_regions", "individual_fits"):
+        assert queries.QUERIES[name](spark, sf).count()
+    assert seen == [fm.Settings().effects] * 3
