@@ -222,6 +222,30 @@ def test_mixing_hits_its_targets(make):
     assert got.groupby("doc_id").mix_copy.apply(lambda c: sorted(c) == list(range(1, len(c) + 1))).all()
 
 
+def test_mixing_rates_of_a_million_and_null_keys(make):
+    from pyspark.sql import functions as F
+
+    rare = make([(1, "x", "en", "rare", 1)] + [(i, "y", "en", "many", 1) for i in range(2, 1001)])
+    got = mixing.mixed(rare, {"rare": 1.0}, size=1000.0)
+    n = got.count()
+    assert abs(n - 1_000_000) < 6 * 1000 and got.where("doc_id <> 1").count() == 0
+    assert got.agg(F.countDistinct("mix_copy"), F.max("mix_copy")).first()[:] == (n, n)
+    unkeyed = make([(None, f"text {i}", "en", "a", i) for i in range(1000)])
+    assert 420 < mixing.mixed(unkeyed, {"a": 1.0}, size=0.5).count() < 580
+
+
+def test_mixing_by_shuffled_rates_is_the_same(make, monkeypatch):
+    docs = make([(i, f"t{i}", "en", None if i % 7 == 0 else f"s{i % 5}", 1) for i in range(400)])
+    want = frame(mixing.mixed(docs, {"s1": 0.5}, size=3.0)).sort_values(["doc_id", "mix_copy"], ignore_index=True)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 2)
+    monkeypatch.setattr(mixing, "PARTITION_BYTES", 8)
+    monkeypatch.setattr(mixing, "MAX_PARTITIONS", 9)
+    path = scratch_path(docs.sparkSession, "docs")
+    docs.write.parquet(path)
+    got = frame(mixing.mixed(docs.sparkSession.read.parquet(path), {"s1": 0.5}, size=3.0)).sort_values(["doc_id", "mix_copy"], ignore_index=True)
+    assert got.equals(want) and len(got) > 1000
+
+
 def test_mixing_odd_and_empty(odd, none, make):
     from pyspark.sql import functions as F
 
