@@ -7,14 +7,17 @@ of counts, written to the shared folder. A second pass over the documents probes
 these arrays: no line is ever joined or shuffled with its text, a line of
 a third of all documents is one entry, and a task holds a bounded number of shards.
 
-Keys below the threshold can drop nothing, so the index leaves them out; it
-needs about 13 bytes for a frequent key. A line that isn't indexed passes the
-64-bit fingerprint test with a probability of 2**-64.
+A key takes about 13 bytes. Every task reads every shard that its lines fall into, and nearly all distinct lines of a
+corpus occur once or a few times and can drop nothing, so by default the index holds those counted ``min_docs`` times or more: a
+corpus of 10**12 distinct lines would make 13 TB for each task to read, its frequent ones make a thousandth of that. With ``index_from=1`` all distinct lines
+are indexed and the counts decide. A line that isn't indexed passes the 64-bit fingerprint test with a probability of 2**-64.
+Lines are probed shard by shard for PROBE_BYTES of text at a time, so a task reads a shard once for so much text.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ from ._bytes import LOWER, Hasher, chunks, lines, mix, small_batches, stripped
 SHARD_KEYS = 1 << 20
 #: Bytes of shards that a task keeps loaded.
 CACHE_BYTES = 96 << 20
+#: Bytes of text whose lines are probed together.
+PROBE_BYTES = 32 << 20
 #: Bits for a key on each level of the perfect hash, and levels before the rest is kept sorted.
 GAMMA, LEVELS = 2, 48
 
@@ -189,12 +194,13 @@ class Index:
         uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
         self.files, self.path = fs.FileSystem.from_uri(uri)
         self.select, self.read = fs.FileSelector, parquet.read_table
-        self.n_shards, self.held, self.bytes = n_shards, OrderedDict(), 0
+        self.n_shards, self.held, self.bytes, self.loads, self.turn = n_shards, OrderedDict(), 0, 0, 1
 
     def shard(self, k: int) -> Shard | None:
         if k not in self.held:
             infos = self.files.get_file_info(self.select(f"{self.path}/part={k}", allow_not_found=True))
             names = [i.path for i in infos if i.path.endswith(".parquet")]
+            self.loads += 1
             rows = [r for p in names for r in self.read(self.files.open_input_file(p)).to_pylist()]
             self.held[k] = Shard(rows[0]) if rows else None
             self.bytes += self.held[k].bytes if rows else 0
@@ -206,55 +212,73 @@ class Index:
 
     def count(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         found, at = np.zeros(len(one), np.int64), shard_of(one, self.n_shards)
-        for k in np.unique(at):
-            mine = at == k
-            if shard := self.shard(int(k)):
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        cuts = list(zip(first, [*first[1:], len(at)], strict=True))
+        for a, b in cuts[:: self.turn]:
+            mine = order[a:b]
+            if shard := self.shard(int(at[mine[0]])):
                 found[mine] = shard.count(one[mine], two[mine])
+        self.turn = -self.turn  # the next probe begins with the shards that are held
         return found
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _probing(text: str, folder: str, n_shards: int, min_docs: int, min_chars: int):
     def probe(batches):
         hashers, index = (Hasher(1), Hasher(2)), Index(folder, n_shards)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # all lines of a batch are probed at once, so that each shard is loaded once a batch
-            parts = [line_keys(data, offsets, hashers) for _, data, offsets in chunks([batch], text)]
-            counts = index.count(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-            n_lines, n_dropped, kept, done = [], [], [], 0
-            for (rows, _, _, size, starts, ends), (part, data, offsets) in zip(parts, chunks([batch], text), strict=True):
-                drop = (counts[done : done + len(rows)] >= min_docs) & (size >= min_chars)
-                done += len(rows)
-                n_lines.append(np.bincount(rows, minlength=part.num_rows))
-                n_dropped.append(np.bincount(rows[drop], minlength=part.num_rows))
-                raw, first = data.tobytes(), np.searchsorted(rows, np.arange(part.num_rows + 1))
-                for i, n in enumerate(n_dropped[-1]):
-                    if n:
-                        kept.append(b"\n".join(raw[starts[j] : ends[j]] for j in range(first[i], first[i + 1]) if not drop[j]))
-                    else:
-                        kept.append(raw[offsets[i] : offsets[i + 1]])
-            columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            columns[text] = pa.array(kept, pa.binary()).cast(pa.string())
-            columns |= {"n_lines": pa.array(np.concatenate(n_lines)), "n_dropped": pa.array(np.concatenate(n_dropped))}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        for held in _gathered(batches, PROBE_BYTES):
+            # all lines of the held batches are probed at once, so that each shard is loaded once for them
+            parts = [[line_keys(data, offsets, hashers) for _, data, offsets in chunks([batch], text)] for batch in held]
+            counts = index.count(*(np.concatenate([p[i] for own in parts for p in own]) for i in (1, 2)))
+            done = 0
+            while held:
+                batch, own, n_lines, n_dropped, kept = held.pop(0), parts.pop(0), [], [], []
+                for (rows, _, _, size, starts, ends), (part, data, offsets) in zip(own, chunks([batch], text), strict=True):
+                    drop = (counts[done : done + len(rows)] >= min_docs) & (size >= min_chars)
+                    done += len(rows)
+                    n_lines.append(np.bincount(rows, minlength=part.num_rows))
+                    n_dropped.append(np.bincount(rows[drop], minlength=part.num_rows))
+                    raw, first = data.tobytes(), np.searchsorted(rows, np.arange(part.num_rows + 1))
+                    for i, n in enumerate(n_dropped[-1]):
+                        if n:
+                            kept.append(b"\n".join(raw[starts[j] : ends[j]] for j in range(first[i], first[i + 1]) if not drop[j]))
+                        else:
+                            kept.append(raw[offsets[i] : offsets[i + 1]])
+                columns = list(batch.columns)
+                columns[batch.schema.get_field_index(text)] = pa.array(kept, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(n_lines)), pa.array(np.concatenate(n_dropped))], names=[*batch.schema.names, "n_lines", "n_dropped"])
 
     return probe
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, index_from: int | None = None) -> DataFrame:
     """docs with the text rid of frequent lines, plus n_lines (before) and n_dropped.
 
     A line's key is the line without ASCII white space at its ends, A-Z
     lower-cased; a key of at least ``min_chars`` code points that is in at least
     ``min_docs`` documents loses all its lines. Null and empty texts are one
     empty line and come back empty. A line repeated within a document counts
-    once. Columns of docs named n_lines or n_dropped are replaced; other columns
-    and repeated rows are kept as they are.
+    once. Every row is a document, so rows that share an id, and repeated rows, count each (SQL that counts distinct ids
+    agrees where ids are distinct). Columns of docs named n_lines or n_dropped are replaced; other columns
+    are kept as they are. An empty table gives no rows. index_from: documents that a key must be in to be indexed (``min_docs`` unless given).
     """
     small_batches(docs.sparkSession)
     own = docs.drop("n_lines", "n_dropped")
-    folder, n_shards = build_index(line_counts(own, text=text, min_chars=min_chars), min_docs=min_docs)
+    folder, n_shards = build_index(line_counts(own, text=text, min_chars=min_chars), min_docs=min(min_docs, index_from or min_docs))
     schema = T.StructType([*own.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return own.mapInArrow(_probing(text, folder, n_shards, min_docs, min_chars), schema)
 
