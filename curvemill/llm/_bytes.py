@@ -7,7 +7,7 @@ few numpy passes over one buffer, so Python is never entered for a word.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,19 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK, row
         release()
 
 
+def kept(keep: list[str] | None, results: Iterable[str]) -> list[str]:
+    """The columns to carry: ``doc_id`` if none are named; one named like a result column gives way to it."""
+    return [c for c in (["doc_id"] if keep is None else keep) if c not in set(results)]
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores after it until no column is named so (names differ in more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of the longest stretches of ``inside`` bytes within a row."""
     n = len(inside)

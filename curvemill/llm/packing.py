@@ -5,7 +5,7 @@ windows, and what is left of each (plus all shorter ones) is placed, longest
 first, into the open window that it fills most tightly. A segment tree over
 remaining capacities finds that window in O(log window) steps.
 
-Documents are dealt by hash into groups of about GROUP_ROWS; each group is
+Pieces are dealt row by row, whatever their ids, into groups of about GROUP_ROWS rests; each group is
 packed on its own, so a group's state is bounded and no order over all
 documents is needed. A group leaves a window or two that aren't full, among
 hundreds or thousands.
@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import SPACE, Hasher, chunks, runs, small_batches
+from ._bytes import SPACE, Hasher, chunks, kept, runs, small_batches, unused
 
 WINDOW = 2048
 #: Id after each document's own.
 END_ID = 1
 GROUP_ROWS = 4096
+#: Columns that a piece has besides the kept ones.
+PIECES = ("start", "length", "ids", "doc_tokens")
 #: Distinct words whose ids a task keeps; then it starts anew.
 CACHE_WORDS = 500_000
 
@@ -158,14 +160,16 @@ class WordTokenizer:
 def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: list[str] | None = None, window: int = WINDOW) -> DataFrame:
     """Kept columns, start, length, ids (little-endian unsigned 32-bit), doc_tokens: documents cut into full windows and a rest.
 
-    tokenizer: path of the file on every machine. A null or empty text is the end id alone.
+    tokenizer: path of the file on every machine. A null or empty text is the end id alone. Repeated rows are
+    cut one by one, an empty table gives no rows, and a kept column named like a result column gives way to it.
     """
     small_batches(docs.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
+    keep = kept(keep, PIECES)
+    hidden = unused("__text", keep)
 
     def run(batches):
         coder = WordTokenizer(tokenizer)
-        for part, data, offsets in chunks(batches, "__text"):
+        for part, data, offsets in chunks(batches, hidden):
             ids, edges = coder.encode(data, offsets)
             total = np.diff(edges)
             n = -(-total // window)
@@ -177,10 +181,10 @@ def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: list[st
             blobs = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
             columns = [part.column(i).take(pa.array(row)) for i in range(len(keep))]
             columns += [pa.array(start), pa.array(length), blobs.cast(pa.binary()), pa.array(total[row])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "start", "length", "ids", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *PIECES])
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType())])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.BinaryType() if c == "ids" else T.LongType()) for c in PIECES])
+    return docs.select(*keep, F.col(text).alias(hidden)).mapInArrow(run, schema)
 
 
 class Capacities:
@@ -218,10 +222,16 @@ class Capacities:
 
 
 def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(window number, offset there) of each piece, longest first, each into the tightest open window."""
+    """(window number, offset there) of each piece, longest first, each into the tightest open window.
+
+    Ties go by position, the window opened or left last first. Full windows fit nothing else and are numbered without a search.
+    """
     place, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    free, n = Capacities(window), 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    full = lengths >= window
+    n = int(full.sum())
+    place[full] = np.arange(n)
+    free, rest = Capacities(window), np.flatnonzero(~full)
+    for i in rest[np.argsort(-lengths[rest], kind="stable")].tolist():
         size = int(lengths[i])
         found = free.take(size)
         if found is None:
@@ -235,23 +245,26 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
 def packed(parts: DataFrame, n_rows: int, *, key: list[str] | None = None, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every column of parts (with start and length), sequence_id and offset.
 
-    n_rows: about how many rows there are; it only sets how many groups they
-    are dealt into, by hash of the key. Order within a group is by length, key
-    and start, so the result is the same on every run; repeated rows are packed
-    one by one. Columns of parts named sequence_id or offset are replaced.
+    n_rows: about how many documents there are, each with one rest at most; it only sets how many groups their pieces
+    are dealt into. A piece's group is the hash of its key, start and number in its partition, so thousands of rows of one
+    key, or repeated rows, are dealt like any others, and are packed one by one; the result is the same wherever the
+    input's partitions are. Order within a group is by length, key and start. Full windows of a group take no search.
+    Null keys are a key. Columns of parts named sequence_id or offset are replaced; an empty table gives no rows.
     """
     own, key = parts.drop("sequence_id", "offset"), ["doc_id"] if key is None else key
     groups = max(1, -(-n_rows // group_rows))
     fields = [*own.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    hidden = unused("__group", own.columns)
 
     def pack(group, rows):
-        rows = rows.sort_by([*((k, "ascending") for k in key), ("start", "ascending")]) if rows.num_rows else rows
+        if rows.num_rows:
+            rows = rows.sort_by([*((k, "ascending") for k in key), ("start", "ascending")])
         place, offset = best_fit(rows.column("length").to_numpy(), window)
         number = group[0].as_py()
-        return rows.drop_columns(["__group"]).append_column("sequence_id", pa.array(place + (number << 32))).append_column("offset", pa.array(offset))
+        return rows.drop_columns([hidden]).append_column("sequence_id", pa.array(place + (number << 32))).append_column("offset", pa.array(offset))
 
-    dealt = own.withColumn("__group", F.pmod(F.xxhash64(*key, "start"), F.lit(groups)))
-    return dealt.groupBy("__group").applyInArrow(pack, T.StructType(fields))
+    dealt = own.withColumn(hidden, F.monotonically_increasing_id()).withColumn(hidden, F.pmod(F.xxhash64(*key, "start", hidden), F.lit(groups)))
+    return dealt.groupBy(hidden).applyInArrow(pack, T.StructType(fields))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
