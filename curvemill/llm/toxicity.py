@@ -1,12 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read the classes of a clause's words: insult, threat,
-target, negation and reported speech. Each holds a short memory (a negation
-of the last words, a target nearby, speech being reported) and puts a factor on every insult or
-threat that it reads. Their composition is one deterministic automaton; a clause's
-score is the sum of its insults' and threats' weights times the factors on the
-path, so a denied or quoted insult counts less than one thrown at somebody. A
-document's score is a logistic function of its clauses' scores.
+Five small transducers read the classes of a clause's words from both ends: insult, threat,
+target, negation and reported speech. Insult and threat emit what their words weigh; each of the five holds a short memory of
+its own words, before and after (a target that follows a threat is its object, a German negation follows what it denies),
+and puts a factor on every insult or threat near one. Their composition is one automaton for each direction and a table of factors; a clause's
+score is the sum of its insults' and threats' weights times the factors of their contexts, so a denied or quoted insult counts less than one
+thrown at somebody. A document's score is a logistic function of its clauses' scores. Factors are fitted to the labels where
+these have contexts to tell; else FACTORS hold.
 
 Which words insult is learnt from labels: words and word beginnings that mark toxic documents
 become terminals with their log odds as weights; beginnings serve languages that
@@ -15,7 +15,7 @@ derive many forms from one stem.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from ._bytes import LOWER, SPACE, Hasher, _table, chunks, runs, small_batches
+from ._bytes import LOWER, SPACE, Hasher, _table, chunks, kept, runs, small_batches, unused
 
-#: Fixed word lists of the grammar, in English, French, German and Spanish.
-THREATS = "kill hurt destroy murder beat tuer frapper détruire töten schlagen vernichten matar golpear destruir".split()
-TARGETS = "you he she they them him her people everyone tu vous ils elles lui eux gens du ihr sie er leute tú usted ellos ellas él gente".split()
-NEGATIONS = "not never no neither nor isn't aren't don't ne pas jamais aucun nicht nie kein keine niemals nunca jamás ningún tampoco".split()
+#: Fixed word lists of the grammar, in English, French, German and Spanish. Threats are whole words and the beginnings of inflected ones.
+THREATS = "beat beats beating beaten tue tues tuer tuez tuent tué tuerai tueront getötet schlage schlagen schlägt schlägst geschlagen mato mata matar matando mataré matarte".split()
+THREAT_STEMS = "kill hurt stab strangl murder destro détrui frapp assassin massacr töte ermord vernicht asesin golpe destru".split()
+TARGETS = "you your yourself he she they them him her people everyone tu te toi vous ils elles lui eux gens bist dich dir euch ihr sie er ihn leute tú ti usted ustedes ellos ellas él gente".split()
+NEGATIONS = "not never no neither nor isn't aren't don't won't didn't ne pas jamais aucun nicht nie kein keine niemals nunca jamás ningún tampoco".split()
 REPORTS = "said says called wrote reported claimed quoted dit disait appelé écrit sagte schrieb nannte behauptete dijo escribió llamó".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -52,51 +53,94 @@ PUNCTUATION = _table(bytes([*range(33, 48), *range(58, 65), *range(91, 97), *ran
 CLAUSE_END = _table(b".!?;:,\n")
 
 
+#: Factors on insults and threats, by what is near: an earlier insult or threat of the clause, a target, a negation, reported speech.
+FACTORS = {"insult": 1.2, "threat": 1.2, "target_insult": 1.5, "target_threat": 3.0, "negation": 0.5, "report": 0.6}
+#: What a fitted factor may be.
+CHOICES = (0.1, 0.25, 0.5, 0.6, 0.8, 1.0, 1.2, 1.5, 2.0, 3.0, 4.0)
+#: Gain in log-likelihood that a changed factor must bring.
+MIN_GAIN = 3.0
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: (state, class) -> (state, factor put on that word). State 0 starts a clause."""
+    """Two deterministic automata over a clause's classes, one from each end, and what the words they remember do to a weight.
+
+    forward, backward: (next state for each class, mask of memories that are on) of every state; state 0 starts a clause.
+    emits: what a word of each class weighs. effects: for each memory the factor on each class where it is on, from either end.
+    """
 
-    arcs: tuple[tuple[tuple[int, float], ...], ...]
+    forward: tuple[tuple[tuple[int, ...], int], ...]
+    backward: tuple[tuple[tuple[int, ...], int], ...]
+    emits: tuple[float, ...]
+    effects: tuple[tuple[float, ...], ...]
 
     def __matmul__(self, other: Transducer) -> Transducer:
-        """Both read the same words; factors multiply. States that can't be reached are left out."""
-        number, queue, arcs = {(0, 0): 0}, [(0, 0)], []
-        for a, b in queue:
-            row = []
-            for (to_a, x), (to_b, y) in zip(self.arcs[a], other.arcs[b], strict=True):
-                if (to_a, to_b) not in number:
-                    number[to_a, to_b] = len(number)
-                    queue.append((to_a, to_b))
-                row.append((number[to_a, to_b], x * y))
-            arcs.append(tuple(row))
-        return Transducer(tuple(arcs))
+        """Both read the same words; emissions add up, factors multiply. States that can't be reached are left out."""
+        bits = len(self.effects)
+        sides = []
+        for mine, theirs in ((self.forward, other.forward), (self.backward, other.backward)):
+            number, queue, rows = {(0, 0): 0}, [(0, 0)], []
+            for x, y in queue:
+                to = []
+                for pair in zip(mine[x][0], theirs[y][0], strict=True):
+                    if pair not in number:
+                        number[pair] = len(number)
+                        queue.append(pair)
+                    to.append(number[pair])
+                rows.append((tuple(to), mine[x][1] | theirs[y][1] << bits))
+            sides.append(tuple(rows))
+        return Transducer(*sides, tuple(x + y for x, y in zip(self.emits, other.emits, strict=True)), self.effects + other.effects)
+
+    def table(self) -> np.ndarray:
+        """What a word weighs: masks x classes."""
+        masks = np.arange(1 << len(self.effects))[:, None]
+        out = np.tile(np.array(self.emits), (len(masks), 1))
+        for i, effect in enumerate(self.effects):
+            out = np.where((masks >> i) & 1, out * np.array(effect), out)
+        return out
+
+
+def memory(trigger: int, before: int | None, after: int | None, effect: dict[int, float], emits: dict[int, float] | None = None) -> Transducer:
+    """On for the ``before`` words that follow the trigger and the ``after`` words ahead of it (None: all of the clause's)."""
+
+    def side(span: int | None) -> tuple[tuple[tuple[int, ...], int], ...]:
+        last = 1 if span is None else span
+        return tuple((tuple(last if c == trigger else state if span is None else max(0, state - 1) for c in range(6)), int(state > 0)) for state in range(last + 1))
 
+    return Transducer(side(before), side(after), tuple((emits or {}).get(c, 0.0) for c in range(6)), (tuple(effect.get(c, 1.0) for c in range(6)),))
 
-def memory(trigger: int, span: int | None, factor: float) -> Transducer:
-    """After ``trigger``, insults and threats within ``span`` words (None: to the clause's end) get the factor."""
 
-    def row(state: int) -> tuple[tuple[int, float], ...]:
-        out = []
-        for c in range(6):
-            after = (1 if span is None else span) if c == trigger else state if span is None else max(0, state - 1)
-            out.append((after, factor if state and c in (INSULT, THREAT) else 1.0))
-        return tuple(out)
+def insult(factor: float = FACTORS["insult"]) -> Transducer:
+    """An insult weighs what it does; it makes worse what follows it in the clause."""
+    return memory(INSULT, None, 0, {INSULT: factor, THREAT: factor}, {INSULT: 1.0})
 
-    return Transducer(tuple(row(s) for s in range(2 if span is None else span + 1)))
 
+def threat(factor: float = FACTORS["threat"]) -> Transducer:
+    return memory(THREAT, None, 0, {INSULT: factor, THREAT: factor}, {THREAT: 1.0})
 
-def emitter(insult: float = 1.0, threat: float = 1.0) -> Transducer:
-    """Insults and threats weigh what they do, all else nothing."""
-    return Transducer((tuple((0, {INSULT: insult, THREAT: threat}.get(c, 0.0)) for c in range(6)),))
 
+def target(on_insult: float = FACTORS["target_insult"], on_threat: float = FACTORS["target_threat"]) -> Transducer:
+    """Somebody up to four words before or two after: the one insulted, or a threat's subject or object."""
+    return memory(TARGET, 4, 2, {INSULT: on_insult, THREAT: on_threat})
 
-def escalation(factor: float = 1.2) -> Transducer:
-    """Every insult or threat after a clause's first gets the factor."""
-    return Transducer(tuple(tuple((1 if state or c in (INSULT, THREAT) else 0, factor if state and c in (INSULT, THREAT) else 1.0) for c in range(6)) for state in range(2)))
 
+def negation(factor: float = FACTORS["negation"]) -> Transducer:
+    return memory(NEGATION, 3, 2, {INSULT: factor, THREAT: factor})
 
-def grammar() -> Transducer:
-    return emitter() @ escalation() @ memory(TARGET, 4, 1.5) @ memory(NEGATION, 3, 0.5) @ memory(REPORT, None, 0.6)
+
+def report(factor: float = FACTORS["report"]) -> Transducer:
+    return memory(REPORT, None, None, {INSULT: factor, THREAT: factor})
+
+
+def grammar(factors: dict[str, float] | None = None) -> Transducer:
+    f = FACTORS | (factors or {})
+    return insult(f["insult"]) @ threat(f["threat"]) @ target(f["target_insult"], f["target_threat"]) @ negation(f["negation"]) @ report(f["report"])
+
+
+def threat_stems(hasher: Hasher | None = None) -> dict[int, np.ndarray]:
+    """Sorted hashes of THREAT_STEMS by their characters."""
+    hasher = hasher or Hasher(8)
+    return {n: np.sort(spelt(own, hasher)) for n in STEMS if (own := [w for w in THREAT_STEMS if len(w) == n])}
 
 
 @dataclass
@@ -106,6 +150,7 @@ class Lexicon:
     terms: dict[int, tuple[np.ndarray, np.ndarray]]
     fixed: tuple[np.ndarray, np.ndarray]
     threat_weight: float = 0.5
+    stems: dict[int, np.ndarray] = field(default_factory=threat_stems)
 
 
 def spelt(words: list[str], hasher: Hasher) -> np.ndarray:
@@ -155,6 +200,8 @@ def classify(hashes: dict[int, np.ndarray], lexicon: Lexicon) -> tuple[np.ndarra
 
     at, hit = find(lexicon.fixed[0], hashes[0])
     kind[hit] = lexicon.fixed[1][at[hit]]
+    for width, keys in lexicon.stems.items():
+        kind[find(keys, hashes[width])[1] & (kind == OTHER)] = THREAT
     weight[kind == THREAT] = lexicon.threat_weight
     for width, (keys, weights) in lexicon.terms.items():
         at, hit = find(keys, hashes[width])
@@ -164,30 +211,39 @@ def classify(hashes: dict[int, np.ndarray], lexicon: Lexicon) -> tuple[np.ndarra
     return kind, weight
 
 
-def clause_sums(rows: np.ndarray, clauses: np.ndarray, kind: np.ndarray, weight: np.ndarray, fst: Transducer, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sum of the clauses' scores, highest clause's score, clauses with a score) of each row.
+def contexts(clauses: np.ndarray, kind: np.ndarray, fst: Transducer) -> tuple[np.ndarray, np.ndarray]:
+    """(words that are insults or threats, mask of the memories that are on there).
 
-    Only clauses with an insult or threat are run; all of them take their next word in one step.
+    Only clauses with such a word are run; all of them take their next word in one step, from the first and then from the last.
     """
+    words = np.flatnonzero((kind == INSULT) | (kind == THREAT))
+    mask = np.zeros(len(kind), np.int64)
+    if len(words):
+        marked = np.unique(clauses[words])
+        first, last = np.searchsorted(clauses, marked), np.searchsorted(clauses, marked, side="right") - 1
+        for arcs, start, end, step in ((fst.forward, first, last, 1), (fst.backward, last, first, -1)):
+            to, on = np.array([row for row, _ in arcs]), np.array([m for _, m in arcs])
+            state, at, left = np.zeros(len(marked), np.int64), start.copy(), np.arange(len(marked))
+            while len(left):
+                word = at[left]
+                mask[word] |= on[state[left]]
+                state[left] = to[state[left], kind[word]]
+                left = left[word != end[left]]
+                at[left] += step
+    return words, mask[words]
+
+
+def clause_sums(rows: np.ndarray, clauses: np.ndarray, kind: np.ndarray, weight: np.ndarray, fst: Transducer, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of the clauses' scores, highest clause's score, clauses with a score) of each row."""
     total, most, scored = np.zeros(n_rows), np.zeros(n_rows), np.zeros(n_rows, np.int64)
-    marked = np.unique(clauses[(kind == INSULT) | (kind == THREAT)])
-    if not len(marked):
-        return total, most, scored
-    to = np.array([[s for s, _ in row] for row in fst.arcs])
-    factor = np.array([[f for _, f in row] for row in fst.arcs])
-    at, stop = np.searchsorted(clauses, marked), np.searchsorted(clauses, marked, side="right")
-    row = rows[at]
-    state, score, left = np.zeros(len(marked), np.int64), np.zeros(len(marked)), np.arange(len(marked))
-    while len(left):
-        word = at[left]
-        c = kind[word]
-        score[left] += weight[word] * factor[state[left], c]
-        state[left] = to[state[left], c]
-        at[left] += 1
-        left = left[at[left] < stop[left]]
-    np.add.at(total, row, score)
-    np.maximum.at(most, row, score)
-    np.add.at(scored, row, 1)
+    words, mask = contexts(clauses, kind, fst)
+    if len(words):
+        marked, at = np.unique(clauses[words], return_inverse=True)
+        score = np.bincount(at, weights=weight[words] * fst.table()[mask, kind[words]])
+        row = rows[np.searchsorted(clauses, marked)]
+        np.add.at(total, row, score)
+        np.maximum.at(most, row, score)
+        np.add.at(scored, row, 1)
     return total, most, scored
 
 
@@ -196,6 +252,7 @@ class Model:
     lexicon: Lexicon
     slope: float
     bias: float
+    factors: dict[str, float] = field(default_factory=lambda: dict(FACTORS))
 
     def score(self, total: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(total) + self.bias, -60, 60)))
@@ -350,13 +407,49 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic") -> M
         own_terms = sorted((np.int64(t).view(np.uint64), w) for (k, t), w in terms.items() if k == width)
         table[width] = (np.array([t for t, _ in own_terms], np.uint64), np.array([w for _, w in own_terms]))
     model = Model(Lexicon(table, fixed_terms(hasher)), 1.0, 0.0)
-    seen = scored(distinct.select("text", "label"), model, keep=["label"]).select("label", "total").collect()
-    x, y = np.log1p([r["total"] for r in seen]), np.array([r["label"] for r in seen], float)
-    told = (y == 0) | (x > 0)  # a toxic document that no terminal is in says nothing about the scale
-    model.slope, model.bias = _logistic(x[told], y[told])
+    cells = 2 * len(grammar().table())
+
+    def profile(batches):
+        """A document's weights of insults and of threats by the mask of their contexts."""
+        hasher, fst = Hasher(8), grammar()
+        for part, data, offsets in chunks(batches, "text"):
+            rows, hashes, clauses = words_of(data, offsets, hasher)
+            kind, weight = classify(hashes, model.lexicon)
+            words, mask = contexts(clauses, kind, fst)
+            cell = rows[words] * cells + 2 * mask + (kind[words] == THREAT)
+            sums = np.bincount(cell, weights=weight[words], minlength=part.num_rows * cells).astype(float)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * cells), pa.array(sums))
+            yield pa.RecordBatch.from_arrays([part.column(1), values], names=["label", "sums"])
+
+    seen = distinct.select("text", "label").mapInArrow(profile, "label int, sums array<double>").toArrow()
+    y = seen.column("label").to_numpy().astype(float)
+    sums = seen.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, cells) if len(y) else np.zeros((0, cells))
+    model.factors, model.slope, model.bias = _fitted(sums, y)
     return model
 
 
+def _fitted(sums: np.ndarray, y: np.ndarray) -> tuple[dict[str, float], float, float]:
+    """Factors, slope and bias. A factor leaves its default if another brings MIN_GAIN; what no document's context tells stays."""
+    order = np.lexsort((*sums.T, y))  # the order of collected rows isn't fixed
+    sums, y = sums[order], y[order]
+
+    def tried(factors: dict[str, float]) -> tuple[float, float, float]:
+        x = np.log1p(sums @ grammar(factors).table()[:, [INSULT, THREAT]].ravel())
+        told = (y == 0) | (x > 0)  # a toxic document that no terminal is in says nothing about the scale
+        slope, bias = _logistic(x[told], y[told])
+        p = np.clip(1 / (1 + np.exp(-np.clip(slope * x[told] + bias, -30, 30))), 1e-12, 1 - 1e-12)
+        return float(np.sum(y[told] * np.log(p) + (1 - y[told]) * np.log1p(-p))), slope, bias
+
+    factors = dict(FACTORS)
+    best = tried(factors)
+    if best[1] > 0:
+        for name in FACTORS:
+            found = max(((tried(factors | {name: c}), c) for c in CHOICES if c != factors[name]), key=lambda f: f[0][0])
+            if found[0][0] >= best[0] + MIN_GAIN:
+                best, factors[name] = found[0], found[1]
+    return factors, best[1], best[2]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Slope and bias by Newton's method, both classes weighing the same; without both classes all scores are low."""
     if not len(y) or y.min() == y.max():
@@ -373,21 +466,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Kept columns, score (0 to 1), total, worst_clause, n_clauses of every document. Null and empty texts match nothing and get the lowest score."""
+    """Kept columns, score (0 to 1), total, worst_clause, n_clauses of every document.
+
+    Null and empty texts match nothing and get the lowest score. Repeated rows are scored alike, an empty table gives no rows,
+    and a kept column named like a result column gives way to it.
+    """
     small_batches(docs.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
+    results = ["score", "total", "worst_clause", "n_clauses"]
+    keep = kept(keep, results)
+    hidden = unused("__text", keep)
 
     def run(batches):
-        hasher, fst = Hasher(8), grammar()
-        for part, data, offsets in chunks(batches, "__text"):
+        hasher, fst = Hasher(8), grammar(model.factors)
+        for part, data, offsets in chunks(batches, hidden):
             rows, hashes, clauses = words_of(data, offsets, hasher)
             kind, weight = classify(hashes, model.lexicon)
             total, most, n = clause_sums(rows, clauses, kind, weight, fst, part.num_rows)
             columns = [part.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(total)), pa.array(total), pa.array(most), pa.array(n)], names=[*keep, "score", "total", "worst_clause", "n_clauses"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(total)), pa.array(total), pa.array(most), pa.array(n)], names=[*keep, *results])
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in ("score", "total", "worst_clause")] + [T.StructField("n_clauses", T.LongType())])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in results[:3]] + [T.StructField("n_clauses", T.LongType())])
+    return docs.select(*keep, F.col(text).alias(hidden)).mapInArrow(run, schema)
 
 
 def held_out() -> Column:
