@@ -13,9 +13,11 @@ QUERIES = {
     "op8_topk": topk.query,
     "op9_langid": langid.query,
     "op10_mixing": mixing.query,
+    "url_rules_curated": url_rules.curated_query,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op8_topk": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "url_rules_curated": url_rules.CURATED_ORACLE,
 }

@@ -158,18 +158,75 @@ def test_codewords_are_apart():
 # toxicity
 
 def test_transducers_compose_to_products():
+    """The composed automata give each word the product of what the five give alone, in both directions."""
     g = toxicity.grammar()
-    parts = [toxicity.emitter(), toxicity.escalation(), toxicity.memory(toxicity.TARGET, 4, 1.5), toxicity.memory(toxicity.NEGATION, 3, 0.5), toxicity.memory(toxicity.REPORT, None, 0.6)]
+    parts = [toxicity.insult(), toxicity.threat(), toxicity.target(), toxicity.negation(), toxicity.report()]
     rng = np.random.default_rng(0)
     for _ in range(50):
-        word, state, alone = rng.integers(0, 6, 12), 0, [0] * len(parts)
-        for c in word:
-            state, factor = g.arcs[state][c]
-            want = 1.0
-            for i, p in enumerate(parts):
-                alone[i], f = p.arcs[alone[i]][c]
-                want *= f
-            assert abs(factor - want) < 1e-12
+        kind = rng.integers(0, 6, 12)
+        clause = np.zeros(12, int)
+        words, mask = toxicity.contexts(clause, kind, g)
+        want = np.zeros(len(words), int)
+        for i, p in enumerate(parts):
+            own, alone = toxicity.contexts(clause, kind, p)
+            assert own.tolist() == words.tolist()
+            want |= alone << i
+        assert mask.tolist() == want.tolist()
+    assert g.table()[0, toxicity.INSULT] == g.table()[0, toxicity.THREAT] == 1 and not g.table()[:, [toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT]].any()
+
+
+def plain_total(kinds, weights, f):
+    """A clause's score word by word, by positions and without automata."""
+    total, n = 0.0, len(kinds)
+    near = lambda i, c, before, after: any(kinds[j] == c for j in range(max(0, i - before), min(n, i + after + 1)) if j != i)
+    for i, k in enumerate(kinds):
+        if k in (toxicity.INSULT, toxicity.THREAT):
+            x = weights[i]
+            x *= f["insult"] if near(i, toxicity.INSULT, n, 0) else 1
+            x *= f["threat"] if near(i, toxicity.THREAT, n, 0) else 1
+            x *= f["target_insult" if k == toxicity.INSULT else "target_threat"] if near(i, toxicity.TARGET, 4, 2) else 1
+            x *= f["negation"] if near(i, toxicity.NEGATION, 3, 2) else 1
+            total += x * (f["report"] if near(i, toxicity.REPORT, n, n) else 1)
+    return total
+
+
+def test_the_automata_equal_an_independent_scorer():
+    rng = np.random.default_rng(5)
+    f = {"insult": 1.3, "threat": 1.7, "target_insult": 2.0, "target_threat": 2.5, "negation": 0.3, "report": 0.7}
+    for _ in range(40):
+        kind, clause = rng.integers(0, 6, 60), np.sort(rng.integers(0, 8, 60))
+        clause = np.unique(clause, return_inverse=True)[1]
+        rows, weight = clause // 3, rng.random(60)
+        total, most, n = toxicity.clause_sums(rows, clause, kind, weight, toxicity.grammar(f), rows.max() + 1)
+        each = [plain_total(kind[clause == c], weight[clause == c], f) for c in range(clause.max() + 1)]
+        for r in range(rows.max() + 1):
+            own = [x for c, x in enumerate(each) if c // 3 == r]
+            assert abs(total[r] - sum(own)) < 1e-9 and abs(most[r] - max(own)) < 1e-9 and n[r] == sum(x > 0 for x in own)
+
+
+def test_context_changes_verdicts(make, spark):
+    """Denied, quoted and thrown insults, threats with and without an object, inflected; without the grammar's factors the verdicts differ."""
+    h = by.Hasher(8)
+    lexicon = toxicity.Lexicon({0: (toxicity.spelt(["moron"], h), np.array([2.0]))}, toxicity.fixed_terms(h))
+    texts = {"a moron came": 1, "nobody here is not a moron": 0, "the paper wrote moron": 0, "we will kill you": 1, "you will be killed": 1, "time can kill": 0, "er wird dich vernichten": 1, "they killed nobody and never hurt": 0}
+    docs = make([(i, t, None, None, None) for i, t in enumerate(texts)])
+    model = toxicity.Model(lexicon, 4.0, -3.6)
+    got = frame(toxicity.scored(docs, model)).set_index("doc_id").score >= 0.5
+    flat = frame(toxicity.scored(docs, toxicity.Model(lexicon, 4.0, -3.6, dict.fromkeys(toxicity.FACTORS, 1.0)))).set_index("doc_id").score >= 0.5
+    assert got.tolist()[:7] == [bool(x) for x in list(texts.values())[:7]]
+    assert (got != flat).sum() >= 4
+
+
+def test_factors_are_fitted_where_labels_tell(make, spark):
+    """Reported insults are never labelled toxic here, so their factor falls; no document has a negation, so its factor stays."""
+    rng = np.random.default_rng(8)
+    filler = lambda n: " ".join(f"word{k}" for k in rng.integers(0, 300, n))
+    rows = [(i, filler(30) + (". grubwort. " if i % 4 == 0 else ". paper wrote grubwort. " if i % 32 == 1 else ". ") + filler(20), "en", "s", 1) for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id bigint, toxic int")
+    model = toxicity.trained_on(make(rows), labels)
+    assert model.factors["report"] < 0.6 and model.factors["negation"] == 0.5
+    got = frame(toxicity.scored(make(rows), model)).set_index("doc_id").score >= 0.5
+    assert got.tolist() == [i % 4 == 0 for i in got.index]
 
 
 def test_clauses_are_scored_in_context(make, spark):
@@ -278,17 +335,17 @@ def test_packing_query_digests(spark, sf):
         assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and len(ids) == r.doc_tokens
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op8_topk", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op8_topk", "op10_mixing", "url_rules_curated"])
 def test_queries_match_their_sql(spark, sf, name):
     from curvemill.llm import registry
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want, got = con.sql(registry.ORACLES[name]).df(), frame(registry.QUERIES[name](spark, sf))
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols and len(got) == len(want)
-    a, b = (x[cols].sort_values([c for c in ("doc_id", "query_id", "rank", "mix_copy") if c in cols]).reset_index(drop=True) for x in (got, want))
+    a, b = (x[cols].sort_values([c for c in ("page_id", "doc_id", "query_id", "rank", "mix_copy") if c in cols]).reset_index(drop=True) for x in (got, want))
     for c in cols:
         assert (a[c].astype(str) == b[c].astype(str)).all() if a[c].dtype == object else np.allclose(a[c], b[c], atol=1e-12), c
 
@@ -298,3 +355,21 @@ def test_digest_of_an_unchanged_text(spark, sf):
     got = frame(line_dedup.query(spark, sf))
     for r in got[got.n_dropped == 0].itertuples():
         assert r.kept_sha256 == hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_many_shards_and_a_small_cache(spark, sf, monkeypatch):
+    """All distinct lines indexed in some hundred shards of which two are held: the same lines go, and a shard is read once a probe."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    want = frame(line_dedup.dedup_lines(docs)).sort_values("doc_id", ignore_index=True)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    monkeypatch.setattr(line_dedup, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(line_dedup, "PROBE_BYTES", 1 << 18)
+    got = frame(line_dedup.dedup_lines(docs, index_from=1)).sort_values("doc_id", ignore_index=True)
+    assert got.equals(want) and want.n_dropped.sum() > 0
+    folder, n_shards = line_dedup.build_index(line_dedup.line_counts(docs), min_docs=1)
+    index, rng = line_dedup.Index(folder, n_shards), np.random.default_rng(1)
+    assert n_shards > 20
+    for probes in (1, 2, 3):
+        keys = rng.integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
+        assert not index.count(*keys).any() and index.loads <= probes * n_shards
+        assert sum(s is not None for s in index.held.values()) <= 3
