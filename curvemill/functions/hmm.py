@@ -52,18 +52,28 @@ def mean_grid(y: np.ndarray, half: int = 50, shape: float = 3.0, expansion: floa
     return np.concatenate([[0.0], up] if positive_only else [[0.0], up, -up])
 
 
-def screen_means(y, se, mu: np.ndarray, min_count: float = 0.5, min_fraction: float = 1e-5, sd: float = 0.0, block: int = 5000) -> np.ndarray:
-    """Centres whose expected number of points, were points independent, is large enough; the first always stays."""
+def screen_counts(y, se, mu: np.ndarray, sd: float = 0.0, block: int = 5000) -> np.ndarray:
+    """Expected number of points of each centre, were points independent."""
     counts = np.zeros(len(mu))
     for at in range(0, len(y), block):
         var = se[at : at + block, None] ** 2 + sd**2
         logs = -0.5 * (y[at : at + block, None] - mu) ** 2 / var - 0.5 * np.log(var)
         counts += np.exp(logs - logsumexp(logs, axis=1)[:, None]).sum(0)
-    keep = counts >= max(min_count, len(y) * min_fraction)
+    return counts
+
+
+def screen_means(y, se, mu: np.ndarray, min_count: float = 0.5, min_fraction: float = 1e-5, sd: float = 0.0, block: int = 5000) -> np.ndarray:
+    """Centres whose expected number of points, were points independent, is large enough; the first always stays."""
+    keep = screen_counts(y, se, mu, sd, block) >= max(min_count, len(y) * min_fraction)
     keep[0] = True
     return mu[keep]
 
 
+def select_grid(y, se, mu: np.ndarray, min_count: float = 0.5, min_fraction: float = 1e-5, sd: float = 0.0) -> np.ndarray:
+    """Centres of a grid that a fit starts from: those that points screen for, 0 first."""
+    return screen_means(y, se, np.asarray(mu, float), min_count, min_fraction, sd)
+
+
 def transition_mask(n: int, topology: str = "full") -> np.ndarray:
     """full: every move; hub: states move to themselves and to and from the first."""
     if topology == "full":
@@ -75,9 +85,13 @@ def transition_mask(n: int, topology: str = "full") -> np.ndarray:
     return mask
 
 
-def first_transition(mask: np.ndarray, stay: float = 0.98) -> np.ndarray:
-    out = np.zeros(mask.shape)
+def first_transition(mask: np.ndarray, stay: float | np.ndarray = 0.98) -> np.ndarray:
+    """Each state stays with its probability (one for all, or one for each state); its other moves share the rest."""
+    out, each = np.zeros(mask.shape), np.broadcast_to(np.asarray(stay, float), (len(mask),))
+    if (each <= 0).any() or (each > 1).any():
+        raise ValueError("stay probabilities must be above 0 and 1 at most")
     for i, row in enumerate(mask):
+        stay = each[i]
         others = np.flatnonzero(row & (np.arange(len(row)) != i))
         out[i, others] = (1 - stay) / len(others) if len(others) else 0
         out[i, i] = stay if len(others) else 1.0
@@ -254,10 +268,8 @@ def variational_bound(logs, a, start, q, sequence) -> float:
     return total
 
 
-def viterbi(logs, a, start, sequence) -> np.ndarray:
-    """Most probable path; ties go to the first state."""
-    with np.errstate(divide="ignore"):
-        log_a, log_start = np.log(a), np.log(start)
+def best_path(logs, log_a, log_start, sequence) -> np.ndarray:
+    """Path of the largest sum of logs, moves and starts; ties go to the first state."""
     path = np.zeros(len(logs), int)
     for part in segments(sequence):
         b = logs[part]
@@ -274,22 +286,56 @@ def viterbi(logs, a, start, sequence) -> np.ndarray:
     return path
 
 
+def viterbi(logs, a, start, sequence) -> np.ndarray:
+    """Most probable path; ties go to the first state."""
+    with np.errstate(divide="ignore"):
+        return best_path(logs, np.log(a), np.log(start), sequence)
+
+
 def penalised_path(logs, mask, sequence, penalty: float) -> np.ndarray:
     """Path of the largest emissions less a penalty for each change of state that the mask allows."""
+    if not (penalty >= 0 and math.isfinite(penalty)):
+        raise ValueError("a step's penalty must be finite and not negative")
     move = np.where(np.eye(len(mask), dtype=bool), 0.0, np.where(mask, -penalty, -np.inf))
-    return viterbi(logs, np.exp(move), np.ones(len(mask)), sequence)
+    return best_path(logs, move, np.zeros(len(mask)), sequence)
 
 
 def path_segments(path: np.ndarray, sequence: np.ndarray, mu: np.ndarray | None = None) -> list[dict]:
-    """Runs of one state: sequence, start and end (from 1, within the sequence), length, state, state_mean."""
+    """Runs of one state: sequence, start and end (from 1, over all rows), length, state, state_mean."""
     out = []
     for part in segments(sequence):
         for run in segments(path[part]):
             s = int(path[part][run.start])
-            out.append({"sequence": sequence[part.start], "start": run.start + 1, "end": run.stop, "length": run.stop - run.start, "state": s + 1, "state_mean": None if mu is None else float(mu[s])})
+            out.append({"sequence": sequence[part.start], "start": part.start + run.start + 1, "end": part.start + run.stop, "length": run.stop - run.start, "state": s + 1, "state_mean": None if mu is None else float(mu[s])})
     return out
 
 
+def step_summary(path: np.ndarray, sequence: np.ndarray, mu: np.ndarray | None = None) -> dict:
+    """segments, per_sequence (steps and changes of each stretch of one id), and how many steps, changes and states there are in all."""
+    runs = path_segments(path, sequence, mu)
+    per = [{"sequence": sequence[part.start], "steps": (n := len(segments(path[part]))), "changes": n - 1} for part in segments(sequence)]
+    steps = sum(p["steps"] for p in per)
+    return {"segments": runs, "per_sequence": per, "step_count": steps, "change_count": steps - len(per), "occupied_state_count": len(np.unique(path))}
+
+
+def expanded_prior(x, rows: int, columns: int) -> np.ndarray:
+    """Counts of a Dirichlet prior for each entry, from a scalar, one for each column, or a matrix; 1 says nothing."""
+    x = np.asarray(x, float)
+    if x.ndim and x.shape not in ((columns,), (rows, columns)):
+        raise ValueError(f"a prior must be a scalar, {columns} numbers or {rows} by {columns}")
+    if not np.isfinite(x).all() or (x < 1).any():
+        raise ValueError("prior entries must be finite and 1 at least")
+    return np.broadcast_to(x, (rows, columns)).copy()
+
+
+def dirichlet_penalty(probability: np.ndarray, alpha: np.ndarray, active: np.ndarray | None = None) -> float:
+    """Log density of probabilities under the prior counts, up to a constant, over the active entries."""
+    use = (alpha > 1) & (np.ones(alpha.shape, bool) if active is None else active)
+    if (probability[use] <= 0).any():
+        return -math.inf
+    return float(((alpha[use] - 1) * np.log(probability[use])).sum())
+
+
 def voronoi_bounds(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Half-way points to the neighbouring centres."""
     order = np.argsort(anchor, kind="stable")
@@ -300,14 +346,16 @@ def voronoi_bounds(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def close_states(mu: np.ndarray, occupancy: np.ndarray, distance: float, fixed: tuple[int, ...] = (0,)) -> list[int]:
-    """Of neighbouring centres nearer than the distance, the less occupied one."""
-    out, order = [], np.argsort(mu, kind="stable")
+    """Of neighbouring centres no further apart than the distance, the less occupied one that isn't fixed; the lower of two alike."""
+    out, order = [], np.argsort(mu, kind="stable").tolist()
+    if not (math.isfinite(distance) and distance > 0):
+        return out
     for i, j in zip(order, order[1:], strict=False):
-        if mu[j] - mu[i] < distance:
-            loser = i if occupancy[i] < occupancy[j] else j
-            loser = (j if loser == i else i) if loser in fixed else loser
-            if loser not in fixed and loser not in out:
-                out.append(int(loser))
+        free = [k for k in (i, j) if k not in fixed]
+        if mu[j] - mu[i] <= distance and free:
+            loser = min(free, key=lambda k: occupancy[k])
+            if loser not in out:
+                out.append(loser)
     return out
 
 
@@ -403,15 +451,28 @@ class Options:
     min_state_fraction: float = 1e-5
     screening_prior_sd: float = 0.0
     topology: str = "full"
-    stay_probability: float = 0.98
+    stay_probability: float | np.ndarray = 0.98
+    prefilter: bool = True
+    init_transition: np.ndarray | None = None
+    transition_mask: np.ndarray | None = None
+    init_prob: np.ndarray | None = None
+    init_rho: np.ndarray | None = None
+    init_prior: float | np.ndarray = 1.0
+    fixed_pointmass_states: tuple[int, ...] | None = None
+    fixed_mean_states: tuple[int, ...] = (0,)
+    mean_min_pointmass_weight: float = 0.0
+    positive_state_means: bool | None = None
+    variational_tolerance: float = 1e-6
+    variational_probability_floor: float = 1e-12
+    variational_final_exact: bool = True
     engine: str = "auto"
     inference: str = "exact"
     variational_maxiter: int = 1
     null_state: str = "pointmass"
     shared_mixture: bool = False
     estimate_init: bool = False
-    transition_prior: float = 1.0
-    mixture_prior: float = 1.0
+    transition_prior: float | np.ndarray = 1.0
+    mixture_prior: float | np.ndarray = 1.0
     learn_state_means: bool = True
     mean_update_start: int = 3
     mean_min_effective_count: float = 2.0
@@ -465,38 +526,51 @@ class Fit:
         return f"HMM fit: {len(self.mu)} states, {len(self.viterbi_state)} points, log likelihood {self.log_likelihood:.3f} ({self.iterations} iterations{'' if self.converged else ', not converged'})"
 
 
-def parameter_count(a, mask, rho, fixed_rho: tuple[int, ...] = (0,), learned_means: int = 0, start_learned: bool = False, tol: float = 1e-6) -> int:
-    """Free parameters that a fit uses: moves, weights, means and starts above the tolerance."""
+def parameter_count(a, mask, rho, fixed_rho: tuple[int, ...] = (0,), learned_means: int = 0, start: np.ndarray | None = None, tol: float = 1e-6) -> int:
+    """Free parameters that a fit uses: moves, weights, means and, if they were learnt, starts above the tolerance."""
     moves = sum(max(0, int((row[m] > tol).sum()) - 1) for row, m in zip(a, mask, strict=True))
     weights = sum(max(0, int((r > tol).sum()) - 1) for i, r in enumerate(rho) if i not in fixed_rho)
-    return moves + weights + learned_means + (len(a) - 1 if start_learned else 0)
+    return moves + weights + learned_means + (0 if start is None else max(0, int((start > tol).sum()) - 1))
 
 
 def fit(y, se, sequence=None, options: Options | None = None) -> Fit:
     """Baum-Welch with learnt centres, pruning checked by likelihood, and posterior summaries.
 
     States start on a grid of centres screened for points, the first at 0; each has its own mixture
-    over prior_sd (the null state only the point mass). A state is dropped when few points use it, or when it is
+    over prior_sd (fixed_pointmass_states, by default the null state, only the point mass). States are numbered from 0 in options;
+    priors are Dirichlet counts (scalar, one a column, or a matrix) and count in the stopping rule. A state is dropped when few points use it, or when it is
     near another, but only if the likelihood hardly falls. With null_model_selection "bic" all states but the null go if
     that has the better criterion.
     """
     o = options or Options()
     y, se, sequence = check_data(y, se, sequence)
     n = len(y)
-    support = o.effect_support if o.effect_support != "auto" else ("nonnegative" if o.nonnegative_state_means else "real")
-    mu = np.asarray(o.mu, float) if o.mu is not None else screen_means(y, se, mean_grid(y, o.half_grid, o.grid_shape, o.grid_expansion, o.grid_max_abs, o.nonnegative_state_means), o.min_state_count, o.min_state_fraction, o.screening_prior_sd)
+    positive = o.nonnegative_state_means if o.positive_state_means is None else o.positive_state_means
+    support = o.effect_support if o.effect_support != "auto" else ("nonnegative" if positive else "real")
+    if o.mu is not None:
+        mu = np.asarray(o.mu, float)
+    else:
+        mu = mean_grid(y, o.half_grid, o.grid_shape, o.grid_expansion, o.grid_max_abs, positive)
+        mu = select_grid(y, se, mu, o.min_state_count, o.min_state_fraction, o.screening_prior_sd) if o.prefilter else mu
     if not len(mu) or mu[0] != 0:
         raise ValueError("the first centre must be 0, the null state's")
     sd = np.asarray(o.prior_sd, float) if o.prior_sd is not None else sigma_grid(y, se)
-    floor = o.positive_mean_floor if o.positive_mean_floor is not None else (float(np.median(se)) * 0.1 if o.nonnegative_state_means else None)
+    floor = o.positive_mean_floor if o.positive_mean_floor is not None else (float(np.median(se)) * 0.1 if positive else None)
     anchor, m = mu.copy(), len(mu)
-    mask = transition_mask(m, o.topology)
-    a, start = first_transition(mask, o.stay_probability), np.full(m, 1 / m)
+    mask = transition_mask(m, o.topology) if o.transition_mask is None else np.asarray(o.transition_mask, bool)
+    a = first_transition(mask, o.stay_probability) if o.init_transition is None else np.asarray(o.init_transition, float)
+    check_transition(a, mask)
+    start = np.full(m, 1 / m) if o.init_prob is None else np.asarray(o.init_prob, float)
     rho = np.full((m, len(sd)), 0.5 / max(1, len(sd) - 1))
     rho[:, 0] = 0.5 if len(sd) > 1 else 1.0
-    point = o.null_state == "pointmass"
-    if point:
-        rho[0] = np.eye(len(sd))[0]
+    rho = rho if o.init_rho is None else np.array(o.init_rho, float)
+    if start.shape != (m,) or rho.shape != (m, len(sd)) or (start < 0).any() or (rho < 0).any() or abs(start.sum() - 1) > 1e-8 or np.abs(rho.sum(1) - 1).max() > 1e-8:
+        raise ValueError("starts and weights must be distributions over states and components")
+    points = ((0,) if o.null_state == "pointmass" else ()) if o.fixed_pointmass_states is None else o.fixed_pointmass_states
+    point, fixed = np.isin(np.arange(m), points), np.isin(np.arange(m), [0, *o.fixed_mean_states])
+    rho[point] = np.eye(len(sd))[0]
+    alpha_a, alpha_rho = expanded_prior(o.transition_prior, m, m), expanded_prior(o.mixture_prior, m, len(sd))
+    alpha_start = expanded_prior(o.init_prior, 1, m)[0]
 
     cache = component_logs(y, se, mu, sd, support)
     logs = mix_logs(cache, rho)
@@ -506,7 +580,7 @@ def fit(y, se, sequence=None, options: Options | None = None) -> Fit:
         if o.inference == "exact" or not mask.all():
             s = forward_backward(logs, a, start, sequence, o.engine, mask)
             return s, s.log_likelihood
-        q = variational_states(logs, a, start, sequence, warm, o.variational_maxiter)
+        q = variational_states(logs, a, start, sequence, warm, o.variational_maxiter, o.variational_tolerance, o.variational_probability_floor)
         counts, first = np.zeros(a.shape), np.zeros(len(a))
         for part in segments(sequence):
             counts += q[part][:-1].T @ q[part][1:]
@@ -516,20 +590,21 @@ def fit(y, se, sequence=None, options: Options | None = None) -> Fit:
 
     state, level = infer(logs, a, start, mask)
     history, pruned, converged, k = [level], [], False, 0
+    before, stay = math.inf, np.broadcast_to(np.asarray(o.stay_probability, float), (m,))
     for k in range(1, o.maxiter + 1):
         counts, precision, weighted = component_statistics(y, se, mu, sd, rho, cache, logs, state.gamma, support)
-        w = counts + (o.mixture_prior - 1)
+        w = counts + (alpha_rho - 1)
         if o.shared_mixture:
-            w[1:] = w[1:].sum(0)
+            w[~point] = w[~point].sum(0)
         rho = np.where(w.sum(1, keepdims=True) > 0, np.maximum(w, 0) / np.maximum(w.sum(1, keepdims=True), 1e-300), rho)
-        if point:
-            rho[0] = np.eye(len(sd))[0]
-        moves = np.where(mask, state.counts + (o.transition_prior - 1), 0)
+        rho[point] = np.eye(len(sd))[0]
+        moves = np.where(mask, state.counts + (alpha_a - 1), 0)
         a = np.where(moves.sum(1, keepdims=True) > 1e-12, np.maximum(moves, 0) / np.maximum(moves.sum(1, keepdims=True), 1e-300), a)
         if o.estimate_init:
-            start = np.maximum(state.first, 1e-12) / np.maximum(state.first, 1e-12).sum()
+            first = np.maximum(state.first + alpha_start - 1, 1e-12)
+            start = first / first.sum()
         if o.learn_state_means and k >= o.mean_update_start:
-            learn = (np.arange(len(mu)) > 0) & (np.diag(a) >= o.mean_min_self_transition)
+            learn = ~fixed & (np.diag(a) >= o.mean_min_self_transition) & (rho[:, 0] >= o.mean_min_pointmass_weight)
             if support == "nonnegative":
                 new_mu = update_truncated_means(y, se, mu, anchor, sd, rho, state.gamma, learn, counts, o.mean_min_effective_count, floor or 0.0)
             else:
@@ -541,33 +616,36 @@ def fit(y, se, sequence=None, options: Options | None = None) -> Fit:
         dropped = False
         if checkpoint and len(mu) > 1:
             use = state.gamma.sum(0)
-            weak = [j for j in np.argsort(use, kind="stable").tolist() if j and use[j] < max(o.prune_min_state_count, n * o.prune_min_state_fraction)]
-            weak += [j for j in close_states(mu, use, o.merge_distance)] if o.merge_distance else []
+            weak = [j for j in np.argsort(use, kind="stable").tolist() if not fixed[j] and use[j] < max(o.prune_min_state_count, n * o.prune_min_state_fraction)]
+            weak += [j for j in close_states(mu, use, o.merge_distance, tuple(np.flatnonzero(fixed)))] if o.merge_distance else []
             weak = list(dict.fromkeys(weak))[: max(1, int(o.prune_max_fraction * len(mu)))] if weak else []
             while weak:
                 keep = np.setdiff1d(np.arange(len(mu)), weak)
                 sub = a[np.ix_(keep, keep)]
-                sub = np.where(sub.sum(1, keepdims=True) > 1e-12, sub / np.maximum(sub.sum(1, keepdims=True), 1e-300), first_transition(mask[np.ix_(keep, keep)], o.stay_probability))
+                sub = np.where(sub.sum(1, keepdims=True) > 1e-12, sub / np.maximum(sub.sum(1, keepdims=True), 1e-300), first_transition(mask[np.ix_(keep, keep)], stay[keep]))
                 begin = start[keep] / start[keep].sum()
                 trial, trial_level = infer(logs[:, keep], sub, begin, mask[np.ix_(keep, keep)])
                 if trial_level >= new_level - o.prune_max_loglik_loss * len(weak):
                     mu, anchor, rho, a, start, mask = mu[keep], anchor[keep], rho[keep], sub, begin, mask[np.ix_(keep, keep)]
                     cache, logs, state, new_level, dropped = cache[:, :, keep], logs[:, keep], trial, trial_level, True
+                    point, fixed, stay = point[keep], fixed[keep], stay[keep]
+                    alpha_a, alpha_rho, alpha_start = alpha_a[np.ix_(keep, keep)], alpha_rho[keep], alpha_start[keep]
                     pruned.append(len(weak))
                     break
                 weak = weak[: len(weak) // 2]
         history.append(new_level)
-        small = abs(new_level - level) <= o.tolerance * (1 + abs(level))
-        level = new_level
+        goal = new_level + dirichlet_penalty(a, alpha_a, mask) + dirichlet_penalty(rho[~point], alpha_rho[~point]) + (dirichlet_penalty(start, alpha_start) if o.estimate_init else 0.0)
+        small = abs(goal - before) <= o.tolerance * (1 + abs(before)) if math.isfinite(goal) and math.isfinite(before) else goal == before and new_level == level
+        level, before = new_level, goal
         if small and not dropped and (checkpoint or not o.prune_states):
             converged = True
             break
-    if o.inference != "exact":
+    if o.inference != "exact" and o.variational_final_exact:
         state = forward_backward(logs, a, start, sequence, o.engine, mask)
         level = state.log_likelihood
     null_chosen = False
     if o.null_model_selection == "bic" and len(mu) > 1:
-        size = parameter_count(a, mask, rho, (0,) if point else (), len(mu) - 1 if o.learn_state_means else 0, o.estimate_init, o.parameter_tolerance)
+        size = parameter_count(a, mask, rho, tuple(np.flatnonzero(point)), int((~fixed).sum()) if o.learn_state_means else 0, start if o.estimate_init else None, o.parameter_tolerance)
         cost = size * math.log(n) * o.null_selection_gamma
         null_chosen = -2 * null_level <= -2 * level + cost + o.null_bic_margin
         if null_chosen:

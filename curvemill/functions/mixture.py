@@ -109,6 +109,15 @@ def softmax(log_bf: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
+def weights_step(scale: np.ndarray, row_weight: np.ndarray, w: np.ndarray, null_penalty: float = 0.0) -> tuple[np.ndarray, float]:
+    """(weights after one expectation-maximisation step, value before it); scale: rows x components of likelihoods, each row up to a factor."""
+    mixed = np.maximum(scale @ w, 1e-300)
+    new = w * (scale.T @ (row_weight / mixed))
+    value = float(row_weight @ np.log(mixed)) + (null_penalty * math.log(max(w[0], 1e-300)) if null_penalty else 0.0)
+    new[0] += null_penalty
+    return new / (row_weight.sum() + null_penalty), value
+
+
 def fit_weights(logs: np.ndarray, row_weight: np.ndarray, start: np.ndarray, null_penalty: float = 0.0, steps: int = 200, tol: float = 1e-9) -> np.ndarray:
     """Weights that maximise sum(row_weight * log(sum_k w_k exp(logs))) + null_penalty * log(w_0).
 
@@ -116,18 +125,13 @@ def fit_weights(logs: np.ndarray, row_weight: np.ndarray, start: np.ndarray, nul
     steps while that helps (Varadhan and Roland 2008).
     """
     scale = np.exp(logs - logs.max(axis=1, keepdims=True))
-    total = row_weight.sum() + null_penalty
     w = np.maximum(np.asarray(start, float), 1e-12)
     w /= w.sum()
-    if total <= 0:
+    if row_weight.sum() + null_penalty <= 0:
         return w
 
     def step(w: np.ndarray) -> tuple[np.ndarray, float]:
-        mixed = np.maximum(scale @ w, 1e-300)
-        new = w * (scale.T @ (row_weight / mixed))
-        value = float(row_weight @ np.log(mixed)) + (null_penalty * math.log(max(w[0], 1e-300)) if null_penalty else 0.0)
-        new[0] += null_penalty
-        return new / total, value
+        return weights_step(scale, row_weight, w, null_penalty)
 
     before = -np.inf
     for _ in range(steps):
@@ -165,8 +169,8 @@ def fit_prior(prior: Prior, estimate: np.ndarray, se: np.ndarray, row_weight: np
     return prior.reweighted(out)
 
 
-def expectation_maximisation(prior: Prior, estimate: np.ndarray, se: np.ndarray, *, passes: int = 2, max_rows: int = 100, null_weight: float = 0.1, tol_null: float = 1e-3, masked: np.ndarray | None = None, df: float | None = None, tol: float = 1e-4) -> tuple[Prior, np.ndarray]:
-    """(prior, log Bayes factors): alternate inclusion probabilities and weights on the ``max_rows`` strongest covariates."""
+def expectation_maximisation(prior: Prior, estimate: np.ndarray, se: np.ndarray, *, passes: int = 2, max_rows: int | None = 100, null_weight: float = 0.1, tol_null: float = 1e-3, masked: np.ndarray | None = None, df: float | None = None, tol: float = 1e-4) -> tuple[Prior, np.ndarray]:
+    """(prior, log Bayes factors): alternate inclusion probabilities and weights on the ``max_rows`` strongest covariates (None: on all)."""
     se = np.where(np.isfinite(se) & (se > 0), se, SE_FLOOR)
     log_bf = log_bayes_factor(prior, estimate, se, masked, df)
     if len(log_bf) == 1:
@@ -225,7 +229,7 @@ def local_false_sign_rate(prior: Prior, estimate: np.ndarray, se: np.ndarray) ->
 
 
 def shrink(estimate: np.ndarray, se: np.ndarray, null_weight: float = 10.0, ratio: float = math.sqrt(2)) -> tuple[np.ndarray, np.ndarray, Mixture]:
-    """(posterior mean, posterior variance, mixture): adaptive shrinkage of one vector (Stephens 2017), with a prior count on the null."""
+    """(posterior mean, posterior variance, mixture): adaptive shrinkage of one vector, with a prior count on the null."""
     estimate, se = np.asarray(estimate, float), np.asarray(se, float)
     usable = np.isfinite(estimate) & np.isfinite(se) & (se > 0)
     if not usable.any():
@@ -238,3 +242,9 @@ def shrink(estimate: np.ndarray, se: np.ndarray, null_weight: float = 10.0, rati
     out_mean, out_var = np.zeros_like(estimate), np.zeros_like(estimate)
     out_mean[usable], out_var[usable] = mean[0], spread[0] ** 2
     return out_mean, out_var, part
+
+
+def shrink_level(estimate: np.ndarray, se: np.ndarray, block: np.ndarray, masked: np.ndarray | None = None, null_weight: float = 10.0) -> Mixture:
+    """The mixture of all covariates' coefficients (rows) in one scale's block, masked ones left out; without any it is the null."""
+    use = block if masked is None else block[~masked[block]]
+    return shrink(estimate[:, use].ravel(), se[:, use].ravel(), null_weight)[2]

@@ -128,6 +128,26 @@ def varying(design: DataFrame, n: int) -> DataFrame:
     return s.select("j", "n_nonzero", (F.col("s") / n).alias("mean"), var.alias("var"), (var > 1e-12).alias("kept"))
 
 
+def through_origin(design: DataFrame, curves: DataFrame, n: int, *, masked: DataFrame | None = None) -> DataFrame:
+    """(j, t, slope, se): regression without intercept of each response on each covariate as they are, of n individuals.
+
+    The standard error is that of the residuals' sample variance over n - 1. Masked responses (t) get (0, 1). Covariates that are 0 throughout have no rows.
+    """
+    x = design.groupBy("j").agg(F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum("x").alias("sx")).where("xx > 0")
+    y = curves.groupBy("t").agg(F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum("y").alias("sy"))
+    xy = design.join(curves, "id").groupBy("j", "t").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    slope = F.col("xy") / F.col("xx")
+    square = F.col("yy") - F.col("xy") * slope
+    mean = (F.col("sy") - F.col("sx") * slope) / n
+    se = F.sqrt(F.greatest(F.lit(0.0), (square - n * mean * mean) / (n - 1) / (n - 1)))
+    out = xy.join(x, "j").join(y, "t").select("j", "t", slope.alias("slope"), se.alias("se"))
+    if masked is None:
+        return out
+    off = F.col("off").isNotNull()
+    out = out.join(F.broadcast(masked.select("t", F.lit(True).alias("off"))), "t", "left")
+    return out.select("j", "t", F.when(off, 0.0).otherwise(F.col("slope")).alias("slope"), F.when(off, 1.0).otherwise(F.col("se")).alias("se"))
+
+
 def marginal(design: DataFrame, curves: DataFrame, n: int, *, sigma2: float | None = None, masked: DataFrame | None = None) -> DataFrame:
     """(j, t, bhat, shat): regression of every standardised response on every standardised covariate.
 

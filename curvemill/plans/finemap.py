@@ -39,7 +39,7 @@ class Settings:
     tol_null_prior: float = 1e-3
     grid_ratio: float = math.sqrt(2)
     max_scale: int = 10
-    max_em_rows: int = 100
+    max_em_rows: int | None = 100
     em_passes: int = 2
     small_sample: bool = False
     greedy: bool = True
@@ -200,9 +200,8 @@ class State:
         return len(e.members) > 1 and self.purity(e.members) < self.settings.min_purity and weak
 
     def discard(self, drop: list[int]) -> None:
-        """At least one effect stays: the strongest, if all are to go."""
-        if len(drop) == len(self.effects):
-            drop = [i for i in drop if i != max(drop, key=lambda i: self.effects[i].max_lbf)]
+        """At least one effect stays: the first, if all are to go."""
+        drop = [i for i in drop if i] if len(drop) == len(self.effects) else drop
         self.effects = [e for i, e in enumerate(self.effects) if i not in set(drop)]
 
     def expand(self, extra: int = 7) -> int:
@@ -219,6 +218,7 @@ class State:
         if drop and self.backfitting:
             self.growing = False
             before = len(self.effects)
+            self.backfitting = len(drop) < before  # with dummies only there is nothing to fit back
             self.discard(drop)
             return len(self.effects) != before
         if not drop and not self.growing:

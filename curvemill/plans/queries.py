@@ -6,8 +6,6 @@ customers and users with binned sums. Floats are rounded to 6 digits on both sid
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import hmm
 from ..functions import wavelets as wv
-from ..functions.mixture import Mixture
+from ..functions.mixture import Mixture, Prior, log_bayes_factor
 from ..operators import credible as cr
 from ..operators import mixture_frames as mf
 from ..operators import moments as mo
 from ..operators.moments import rounded as r6
 from ..sources import views
-from .finemap import FunctionalFineMapper
+from .finemap import Effect, FunctionalFineMapper, Settings, State
 from .regression import FunctionalRegression
 
 QUERIES: dict = {}
@@ -40,9 +38,9 @@ def query(sql: str | None = None):
 
 # shared SQL
 
-E = """e AS (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1))::INTEGER AS t, unnest(embedding)::DOUBLE AS y FROM embeddings),
-x AS (SELECT vec_id AS id, label::INTEGER AS j FROM embeddings WHERE label IS NOT NULL),
-n AS (SELECT count(*)::DOUBLE AS n FROM embeddings)"""
+E = """e AS (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1))::INTEGER AS t, unnest(embedding)::DOUBLE AS y FROM embeddings WHERE label IS NOT NULL),
+x AS (SELECT vec_id AS id, label::INTEGER AS j FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT count(*)::DOUBLE AS n FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"""
 MARGINAL = E + """,
 xs AS (SELECT j, count(*) / max(n) AS m, sqrt((count(*) - count(*) * count(*) / max(n)) / (max(n) - 1)) AS s FROM x, n GROUP BY j),
 ys AS (SELECT t, avg(y) AS m, stddev_samp(y) AS s FROM e GROUP BY t),
@@ -69,7 +67,7 @@ r AS (SELECT p.j, q.j AS k, CASE WHEN p.j = q.j THEN 1.0 ELSE -p.m * q.m * n / (
 
 def _e(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     curves, design = views.embedding_curves(spark, sf_dir)
-    return curves, design, views.table(spark, sf_dir, "embeddings").count()
+    return curves, design, views.table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null").count()
 
 
 def _marginal(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -77,6 +75,13 @@ def _marginal(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return mo.marginal(design, curves, n, **({"sigma2": 1.0} | options))
 
 
+def slopes(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(covariates, slopes, standard errors) as the state of a fit holds them: covariates x points."""
+    rows = _marginal(spark, sf_dir).toPandas().sort_values(["j", "t"])
+    j = np.unique(rows["j"])
+    return j, *(rows[c].to_numpy().reshape(len(j), -1) for c in ("bhat", "shat"))
+
+
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mf.log_bayes_factors(_marginal(spark, sf_dir), PRIOR)
 
@@ -251,20 +256,17 @@ def shat_scale_average(spark, sf_dir):
 m AS (SELECT lo, hi, ceil(ln(hi / lo) / ln(sqrt(2)))::INTEGER AS n FROM s)
 SELECT 0 AS k, 0.0 AS sd UNION ALL SELECT (n - i + 1)::INTEGER AS k, round(hi * pow(sqrt(2), -i), 6) AS sd FROM m, range(0, 60) r(i) WHERE i <= n""")
 def sigma_grid(spark, sf_dir):
-    s = _marginal(spark, sf_dir).agg((F.min("shat") / 10).alias("lo"), (2 * F.sqrt(F.max(F.col("bhat") ** 2 - F.col("shat") ** 2))).alias("hi"))
-    n = F.ceil(F.log(F.col("hi") / F.col("lo")) / math.log(math.sqrt(2))).cast("int")
-    grid = F.concat(F.array(F.lit(0.0)), F.transform(F.sequence(n, F.lit(0), F.lit(-1)), lambda i: F.col("hi") * F.pow(F.lit(math.sqrt(2)), -i.cast("double"))))
-    return s.select(F.posexplode(grid).alias("k", "sd")).select("k", r6(F.col("sd")).alias("sd"))
+    _, bhat, shat = slopes(spark, sf_dir)
+    sd = hmm.sigma_grid(bhat.ravel(), shat.ravel())
+    return spark.createDataFrame(pa.table({"k": pa.array(np.arange(len(sd)), pa.int32()), "sd": pa.array(np.round(sd, 6))}))
 
 
 @query(f"""WITH {MARGINAL}, s AS (SELECT 3 * max(abs(bhat)) AS top FROM b),
 h AS (SELECT i, top * pow(i / 50.0, 3) AS m FROM s, range(1, 51) r(i))
 SELECT 1 AS k, 0.0 AS mu UNION ALL SELECT (1 + i)::INTEGER, round(m, 6) FROM h UNION ALL SELECT (51 + i)::INTEGER, round(-m, 6) FROM h""")
 def mu_grid(spark, sf_dir):
-    s = _marginal(spark, sf_dir).agg((3 * F.max(F.abs("bhat"))).alias("top"))
-    up = F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.col("top") * F.pow(i / 50.0, F.lit(3.0)))
-    grid = F.concat(F.array(F.lit(0.0)), up, F.transform(up, lambda v: -v))
-    return s.select(F.posexplode(grid).alias("k", "mu")).select((F.col("k") + 1).alias("k"), r6(F.col("mu")).alias("mu"))
+    mu = hmm.mean_grid(slopes(spark, sf_dir)[1].ravel())
+    return spark.createDataFrame(pa.table({"k": pa.array(np.arange(1, len(mu) + 1), pa.int32()), "mu": pa.array(np.round(mu, 6))}))
 
 
 @query(f"WITH {LOGS} SELECT j, t, k, round(ll, 6) + 0.0 AS log_lik FROM l")
@@ -376,20 +378,33 @@ _FIXED = MARGINAL + """,
 fx AS (SELECT j, t, (j + 1) / 55.0 * bhat AS f FROM b)""" + CORR
 
 
-def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marginal(spark, sf_dir).select("j", "t", "bhat", ((F.col("j") + 1) / 55.0 * F.col("bhat")).alias("f"))
+def fixed_state(spark: SparkSession, sf_dir: str, *, points: bool) -> tuple[np.ndarray, State]:
+    """The fit's state with effects set: one effect over all covariates, or one for each (a point), then one without an effect."""
+    j, bhat, _ = slopes(spark, sf_dir)
+    n = _e(spark, sf_dir)[2]
+    r = _correlations(spark, sf_dir).toPandas().pivot(index="j", columns="k", values="r").loc[j, j].to_numpy()
+    p, t = bhat.shape
+    prior = Prior((PRIOR,), (np.arange(t),))
+    state = State(r * (n - 1), bhat * (n - 1), float(t * (n - 1)), n, np.zeros(t, bool), Settings(), prior, 1.0)
+    share, none = (j + 1) / 55.0, np.zeros((p, t))
+    if points:
+        state.effects = [Effect(np.eye(p)[i], share[i] * bhat, none, np.zeros(p), prior) for i in range(p)]
+    else:
+        state.effects = [Effect(share, bhat, none, log_bayes_factor(prior, bhat, np.full((p, t), (n - 1) ** -0.5)), prior)]
+    state.effects.append(Effect(np.full(p, 1 / p), none, none, np.zeros(p), prior))
+    return j, state
 
 
-def _after(fixed: DataFrame, correlations: DataFrame) -> DataFrame:
-    """(j, t, v): correlations @ effects."""
-    other = fixed.select(F.col("j").alias("k"), "t", "f")
-    return other.join(correlations, "k").groupBy("j", "t").agg(F.sum(F.col("r") * F.col("f")).alias("v"))
+def by_point(spark: SparkSession, j: np.ndarray, matrix: np.ndarray, name: str) -> DataFrame:
+    """(j, t, name) of a matrix of covariates x points."""
+    t = matrix.shape[1]
+    return spark.createDataFrame(pa.table({"j": pa.array(np.repeat(j, t), pa.int32()), "t": pa.array(np.tile(np.arange(1, t + 1), len(j)), pa.int32()), name: pa.array(np.round(matrix.ravel(), 6) + 0.0)}))
 
 
 @query(f"WITH {_FIXED}, xf AS (SELECT r.j, t, sum(r * f) AS v FROM r JOIN fx ON fx.j = r.k GROUP BY ALL) SELECT b.j, b.t, round(bhat - v, 6) + 0.0 AS partial FROM b JOIN xf ON b.j = xf.j AND b.t = xf.t")
 def partial_residual(spark, sf_dir):
-    fixed = _fixed(spark, sf_dir)
-    return fixed.join(_after(fixed, _correlations(spark, sf_dir)), ["j", "t"]).select("j", "t", r6(F.col("bhat") - F.col("v")).alias("partial"))
+    j, state = fixed_state(spark, sf_dir, points=False)
+    return by_point(spark, j, state.residual(1) / state.d[:, None], "partial")
 
 
 _ER2 = f"WITH {_FIXED}, xf AS (SELECT r.j, t, sum(r * f) AS v FROM r JOIN fx ON fx.j = r.k GROUP BY ALL), q AS (SELECT sum(-2 * fx.f * bhat + fx.f * v) AS s FROM fx JOIN xf ON fx.j = xf.j AND fx.t = xf.t JOIN b ON b.j = fx.j AND b.t = fx.t), er AS (SELECT (64 + s) * (n - 1) AS er2 FROM q, n)"
@@ -398,19 +413,28 @@ _ER2 = f"WITH {_FIXED}, xf AS (SELECT r.j, t, sum(r * f) AS v FROM r JOIN fx ON
 @query(_ER2 + " SELECT round(er2, 4) AS er2 FROM er")
 def er2(spark, sf_dir):
     """||Y - X F||**2 from second moments only."""
-    return _squared_error(spark, sf_dir).select(r6(F.col("er2"), 4).alias("er2"))
-
-
-def _squared_error(spark, sf_dir):
-    fixed, n = _fixed(spark, sf_dir), views.table(spark, sf_dir, "embeddings").count()
-    both = fixed.join(_after(fixed, _correlations(spark, sf_dir)), ["j", "t"])
-    return both.agg(((64 + F.sum(-2 * F.col("f") * F.col("bhat") + F.col("f") * F.col("v"))) * (n - 1)).alias("er2"), F.lit(n).alias("n"))
+    _, state = fixed_state(spark, sf_dir, points=True)
+    return spark.createDataFrame([(round(state.squared_error(), 4),)], "er2 double")
 
 
 @query(_ER2 + " SELECT round(er2 / (n * 64), 6) AS sigma2, round(-n * 64 / 2 * (ln(2 * pi()) + ln(er2 / (n * 64))) - n * 64 / 2, 3) AS log_likelihood FROM er, n")
 def elbo_terms(spark, sf_dir):
-    s2 = F.col("er2") / (F.col("n") * 64)
-    return _squared_error(spark, sf_dir).select(r6(s2).alias("sigma2"), r6(-F.col("n") * 64 / 2 * (math.log(2 * math.pi) + F.log(s2)) - F.col("n") * 64 / 2, 3).alias("log_likelihood"))
+    _, state = fixed_state(spark, sf_dir, points=True)
+    state.sigma2 = state.squared_error() / state.cells()
+    return spark.createDataFrame([(round(state.sigma2, 6), round(state.log_likelihood(), 3))], "sigma2 double, log_likelihood double")
+
+
+_OBJECTIVE = f"""WITH {LBF}, c AS (SELECT (n - 1) * sum((j + 1) / 55.0 * bhat * bhat) AS fit, max(n) AS n FROM b, n GROUP BY n),
+k AS (SELECT fit, n, ln((SELECT avg(exp(lbf - (SELECT max(lbf) FROM f))) FROM f)) + (SELECT max(lbf) FROM f) AS mean_bf, -n * 64 / 2 * ln(2 * pi()) AS base, 64 * (n - 1) AS yy FROM c)"""
+
+
+@query(_OBJECTIVE + " SELECT round(fit / 2 - mean_bf, 4) AS divergence, round(base - (yy - fit) / 2 - fit / 2 + mean_bf, 4) AS objective, round(base - yy / 2 + mean_bf, 4) AS marginal, round(base - (yy - fit) / 2, 4) AS expected FROM k")
+def objective_terms(spark, sf_dir):
+    """One effect at error variance 1: its divergence from the prior, the objective, the marginal and the expected likelihood."""
+    _, state = fixed_state(spark, sf_dir, points=False)
+    state.effects = state.effects[:1]
+    values = (state.divergence(0), state.objective(), state.marginal_log_likelihood(0), state.expected_log_likelihood(0))
+    return spark.createDataFrame([tuple(round(v, 4) for v in values)], "divergence double, objective double, marginal double, expected double")
 
 
 # curves of effects, regions, segments
@@ -458,30 +482,21 @@ q AS (SELECT k, u / sum(u) OVER (PARTITION BY j, t) AS p FROM w)
 SELECT k, round(sum(p), 5) AS n FROM q GROUP BY k""")
 def hmm_prefilter(spark, sf_dir):
     """Expected points of each candidate centre, were points independent."""
-    b, centres = _marginal(spark, sf_dir), (0.0, 0.03, -0.03, 0.2)
-    u = [F.exp(-((F.col("bhat") - m) ** 2) / (2 * F.col("shat") ** 2)) for m in centres]
-    rows = b.select(F.posexplode(F.array(*u)).alias("k", "u"), sum(u[1:], u[0]).alias("total"))
-    return rows.groupBy("k").agg(r6(F.sum(F.col("u") / F.col("total")), 5).alias("n"))
-
-
-@query(f"""WITH RECURSIVE {MARGINAL}, o AS (SELECT j, t, exp(-bhat * bhat / (2 * shat * shat)) AS b0, exp(-(bhat - 0.05) * (bhat - 0.05) / (2 * shat * shat)) AS b1 FROM b WHERE t <= 12),
-g(q) AS (VALUES (0.05::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)),
-fw AS (SELECT j, q, 1 AS t, 0.5 * b0 AS a0, 0.5 * b1 AS a1 FROM o, g WHERE t = 1
- UNION ALL SELECT fw.j, fw.q, fw.t + 1, (a0 * (1 - q) + a1 * q) * b0, (a0 * q + a1 * (1 - q)) * b1 FROM fw JOIN o ON o.j = fw.j AND o.t = fw.t + 1)
-SELECT j, q, round(ln(a0 + a1), 5) + 0.0 AS log_lik FROM fw WHERE t = 12""")
-def hmm_binary_loglik_grid(spark, sf_dir):
-    """Two levels, 0 and 0.05, on the first 12 points of each slope curve: likelihood up to a constant, for three flip probabilities. The recursion is a fold over an array."""
-    b = _marginal(spark, sf_dir).where("t <= 12")
-    s2 = 2 * F.col("shat") ** 2
-    like = F.struct("t", F.exp(-F.col("bhat") ** 2 / s2).alias("b0"), F.exp(-((F.col("bhat") - 0.05) ** 2) / s2).alias("b1"))
-    seq = b.groupBy("j").agg(F.sort_array(F.collect_list(like)).alias("o")).withColumn("q", F.explode(F.array(F.lit(0.05), F.lit(0.2), F.lit(0.5))))
-    q = F.col("q")
-    start = F.struct((0.5 * F.col("o")[0]["b0"]).alias("a0"), (0.5 * F.col("o")[0]["b1"]).alias("a1"))
-    step = lambda a, o: F.struct(((a["a0"] * (1 - q) + a["a1"] * q) * o["b0"]).alias("a0"), ((a["a0"] * q + a["a1"] * (1 - q)) * o["b1"]).alias("a1"))
-    return seq.select("j", "q", r6(F.aggregate(F.slice("o", 2, 11), start, step, lambda a: F.log(a["a0"] + a["a1"])), 5).alias("log_lik"))
+    _, bhat, shat = slopes(spark, sf_dir)
+    n = hmm.screen_counts(bhat.ravel(), shat.ravel(), np.array([0.0, 0.03, -0.03, 0.2]))
+    return spark.createDataFrame(pa.table({"k": pa.array(np.arange(4), pa.int32()), "n": pa.array(np.round(n, 5))}))
 
 
-@query()
+_FLIPS = """o AS (SELECT j, t, -0.5 * ln(2 * pi()) - ln(shat) - bhat * bhat / (2 * shat * shat) AS l0, -0.5 * ln(2 * pi()) - ln(shat) - (bhat - 0.05) * (bhat - 0.05) / (2 * shat * shat) AS l1 FROM b),
+e2 AS (SELECT j, t, greatest(l0, l1) AS top, exp(l0 - greatest(l0, l1)) AS b0, exp(l1 - greatest(l0, l1)) AS b1 FROM o)"""
+
+
+@query(f"""WITH RECURSIVE {MARGINAL}, {_FLIPS},
+g AS (SELECT i / 1000.0::DOUBLE AS q FROM range(0, 501) r(i)),
+fw AS (SELECT j, q, 1 AS t, b0 / (b0 + b1) AS a0, b1 / (b0 + b1) AS a1, top + ln(0.5 * (b0 + b1)) AS v FROM e2, g WHERE t = 1
+ UNION ALL SELECT j, q, t, u0 / (u0 + u1), u1 / (u0 + u1), v + ln(u0 + u1) FROM
+  (SELECT fw.j, q, e2.t, v + top AS v, (a0 * (1 - q) + a1 * q) * b0 AS u0, (a0 * q + a1 * (1 - q)) * b1 AS u1 FROM fw JOIN e2 ON e2.j = fw.j AND e2.t = fw.t + 1) s)
+SELECT j, round(q, 3) AS q, round(v, 5) + 0.0 AS log_lik FROM fw WHERE t = 64""")
 def hmm_binary_loglik(spark, sf_dir):
     """(j, q, log_lik): the likelihood of all 64 points of each slope curve, two levels, 0 and 0.05, at each of ``hmm.fit_binary``'s 501 flip probabilities."""
     b = _marginal(spark, sf_dir)
@@ -491,7 +506,7 @@ def hmm_binary_loglik(spark, sf_dir):
         y, se = part.column("bhat").to_numpy(), part.column("shat").to_numpy()
         q = np.linspace(0, 0.5, 501)
         levels = [hmm.binary_log_likelihood(y, se, (0.0, 0.05), v, np.zeros(len(y), int)) for v in q]
-        return pa.table({"j": pa.array(np.full(len(q), part.column("j")[0].as_py()), pa.int32()), "q": pa.array(q), "log_lik": pa.array(levels)})
+        return pa.table({"j": pa.array(np.full(len(q), part.column("j")[0].as_py()), pa.int32()), "q": pa.array(q.round(3)), "log_lik": pa.array(np.round(levels, 5) + 0.0)})
 
     return b.groupBy("j").applyInArrow(run, "j int, q double, log_lik double")
 
@@ -555,7 +570,7 @@ def individual_fits(spark, sf_dir):
 def functional_regression(spark, sf_dir):
     """Customers' order curves on nations, one of which is left out."""
     curves, design = views.customer_curves(spark, sf_dir)
-    x = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda j: (F.col("nation") == j).cast("double"))
+    x = F.array(*((F.col("nation") == j).cast("double") for j in views.levels(design, "j")[1:]))
     rows = views.array_curves(curves, 32).join(design.select("id", F.col("j").alias("nation")), "id").select("id", x.alias("x"), "y")
     return FunctionalRegression().fit(rows).curves_table(spark)
 

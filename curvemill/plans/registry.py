@@ -1,5 +1,6 @@
 """Registered queries and their DuckDB oracles."""
 
+from . import kernels
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "kernels"]

@@ -91,3 +91,21 @@ class FunctionalRegression:
 
     def fit(self, rows: DataFrame, *, x: str = "x", y: str = "y", pos: np.ndarray | None = None) -> RegressionFit:
         return fit_moments(moments(rows, x=x, y=y), pos, **self.settings)
+
+
+def wavelet_regression(m: Moments, *, moments: int = 10, family: str = "least_asymmetric", null_weight: float = 10.0) -> np.ndarray:
+    """Curves of covariates (P x T) by least squares on all of them with an intercept, coefficient by coefficient; each covariate's scales are shrunk on their own.
+
+    The responses must have 2**k points. Rows less ``x @ curves`` are adjusted for the covariates (``moments.adjusted``).
+    """
+    t = m.cross.shape[0] - m.p
+    w = wv.transform_matrix(t, moments, family)
+    inverse = np.linalg.pinv(m.xtx)
+    beta = inverse @ m.xty @ w.T
+    rest = np.maximum(np.einsum("ij,jk,ik->i", w, m.yty, w) - np.einsum("pt,pt->t", beta, m.xty @ w.T), 0) / max(1, m.n - 1 - m.p)
+    se = np.sqrt(np.maximum(np.outer(np.diag(inverse), rest), 1e-24))
+    out = np.zeros_like(beta)
+    for block in wv.scale_blocks(t):
+        for i in range(m.p):
+            out[i, block] = mx.shrink(beta[i, block], se[i, block], null_weight)[0]
+    return out @ w

@@ -37,28 +37,30 @@ def slopes(xx: float, xy: np.ndarray, yy_diag: np.ndarray, n: int) -> tuple[np.n
     return b, np.sqrt(np.maximum(yy_diag - b * xy, 0) / (n - 1) / xx)
 
 
-def translation_invariant(xx: float, xy: np.ndarray, yy: np.ndarray, n: int, *, null_weight: float = 30.0, null_weight_smooth: float = 3.0) -> Curve:
-    """Undecimated Haar coefficients of the slopes, each level shrunk on its own, averaged over all shifts on the way back."""
+def translation_invariant(xx: float, xy: np.ndarray, yy: np.ndarray, n: int, *, null_weight: float = 30.0, null_weight_smooth: float = 3.0, by_level: bool = True) -> Curve:
+    """Undecimated Haar coefficients of the slopes, each level shrunk on its own (or all at once), averaged over all shifts on the way back."""
     size = len(xy)
     if not is_power_of_two(size):
         raise ValueError("the translation-invariant smoother needs 2**k points; interpolate first")
     details, smooth = stationary_haar(size)
     back, back_smooth = average_basis_inverse(size)
-    effect, d_var = np.zeros(size), []
-    for level, d in enumerate(details):
-        b, se = slopes(xx, d @ xy, np.einsum("ij,jk,ik->i", d, yy, d), n)
-        mean, var, _ = shrink(b, np.maximum(se, 1e-12), null_weight)
-        effect += back[level] @ mean
-        d_var.append(var)
+    found = [slopes(xx, d @ xy, np.einsum("ij,jk,ik->i", d, yy, d), n) for d in details]
+    b, se = (np.array([f[i] for f in found]) for i in (0, 1))
+    if by_level:
+        shrunk = [shrink(x, np.maximum(s, 1e-12), null_weight)[:2] for x, s in zip(b, se, strict=True)]
+        mean, d_var = (np.array([v[i] for v in shrunk]) for i in (0, 1))
+    else:
+        mean, d_var = (v.reshape(b.shape) for v in shrink(b.ravel(), np.maximum(se, 1e-12).ravel(), null_weight)[:2])
+    effect = np.einsum("lij,lj->i", back, mean)
     b, se = slopes(xx, smooth @ xy, np.einsum("ij,jk,ik->i", smooth, yy, smooth), n)
     mean, var, _ = shrink(b, np.maximum(se, 1e-12), null_weight_smooth)
-    return Curve(effect + back_smooth @ mean, average_basis_variance(np.array(d_var), var))
+    return Curve(effect + back_smooth @ mean, average_basis_variance(d_var, var))
 
 
 def adaptive(xx: float, xy: np.ndarray, yy: np.ndarray, n: int) -> Curve:
     """Slopes as one noisy curve with a standard error for each point: undecimated Haar with propagated variances and shrinkage by level, any length.
 
-    Equivalent in purpose to smoothing by adaptive shrinkage (Xing, Carbonetto and Stephens 2021).
+    Equivalent in purpose to smoothing by adaptive shrinkage.
     """
     b, se = slopes(xx, xy, np.diag(yy), n)
     mean, var = smooth_signal(b, np.maximum(se, 1e-12))
@@ -90,7 +92,9 @@ def hmm_curve(b: np.ndarray, se: np.ndarray, options: hmm.Options | None = None)
 
 
 def univariate(method: str, xx: float, xy: np.ndarray, yy: np.ndarray, n: int) -> Curve:
-    """One covariate's curve by "ti", "smash" or "hmm"."""
+    """One covariate's curve by "ti", "ti_pooled" (one mixture for all levels), "smash" or "hmm"."""
+    if method == "ti_pooled":
+        return translation_invariant(xx, xy, yy, n, null_weight=3.0, by_level=False)
     if method == "ti":
         return translation_invariant(xx, xy, yy, n)
     if method == "smash":

@@ -45,13 +45,20 @@ def binned(rows: DataFrame, ids: DataFrame, position: Column, value: Column, bin
 # the driver's tables
 
 def embedding_curves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "embeddings")
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
     return long_curves(rows, "vec_id", "embedding"), one_hot(rows, "vec_id", "label")
 
 
-def embedding_rows(spark: SparkSession, sf_dir: str, labels: int = 10) -> DataFrame:
-    x = F.transform(F.sequence(F.lit(0), F.lit(labels - 1)), lambda j: (F.col("label") == j).cast("double"))
-    return table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null").select(F.col("vec_id").alias("id"), "label", x.alias("x"), F.transform("embedding", lambda v: v.cast("double")).alias("y"))
+def levels(rows: DataFrame, column: str) -> list:
+    """Distinct values, sorted, null aside: each becomes a covariate, so a fit's state holds them anyway."""
+    return sorted(r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().collect())
+
+
+def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, label, x (an indicator for each label that occurs), y."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
+    x = F.array(*((F.col("label") == j).cast("double") for j in levels(rows, "label")))
+    return rows.select(F.col("vec_id").alias("id"), "label", x.alias("x"), F.transform("embedding", lambda v: v.cast("double")).alias("y"))
 
 
 def days(column: str) -> Column:
@@ -74,7 +81,7 @@ def customer_curves(spark: SparkSession, sf_dir: str, bins: int = 32) -> tuple[D
 def user_curves(spark: SparkSession, sf_dir: str, bins: int = 32) -> tuple[DataFrame, DataFrame]:
     events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "id")
     kinds = events.groupBy("id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("x"))
-    names = F.array(*(F.lit(k) for k in ("click", "error", "purchase", "signup", "view")))
+    names = F.array(*(F.lit(k) for k in levels(kinds, "event_type")))
     design = kinds.select("id", (F.array_position(names, F.col("event_type")) - 1).cast("int").alias("j"), "x")
     return binned(events, events.select("id"), F.unix_timestamp("ts"), F.col("value"), bins), design
 
