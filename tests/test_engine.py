@@ -209,7 +209,7 @@ def test_binary_chain_of_all_points(spark, sf, monkeypatch):
     fit = queries.QUERIES["hmm_binary_fit"](spark, sf).toPandas()
     assert (fit.groupby("seq").t.nunique() == 64).all()
     best = fit.groupby("seq").log_likelihood.first()
-    assert (best >= got.groupby("j").log_lik.max() - 1e-9).all()
+    assert (best >= got.groupby("j").log_lik.max() - 5.1e-6).all()  # which the query rounds
     rng = np.random.default_rng(4)
     y, se = rng.normal(size=14) * 0.1, np.full(14, 0.05)
     short = spark.createDataFrame([(0, t + 1, float(y[t]), 0.05) for t in range(14)], "j int, t int, bhat double, shat double")
