@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ._bytes import CHUNK, LOWER, SPACE, Hasher, chunks, mix, release, runs, small_batches
+from ._joins import spread
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -36,6 +37,10 @@ BANDS, ROWS = 32, 4
 MAX_BROADCAST_IDS = 2_000_000
 #: Rows of a block in which the rest of a band is compared, and shingles of its sets, on average.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Pairs of one text that are verified in one task.
+PAIR_ROWS = 4096
+#: Standard deviations of the signatures' agreement that a pair at the similarity may fall short in blocks: once in 300,000 pairs.
+DEVIATIONS = 4.5
 #: Texts that are sketched in one pass; each takes some 1,300 darts of about 100 bytes.
 SKETCH_ROWS = 512
 #: Rank from which regions double; below is one region.
@@ -190,12 +195,29 @@ def _texts(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(needed, "id", "left_semi")
 
 
+def _busy(pairs: DataFrame, side: str) -> DataFrame:
+    """(side, members, parts): texts of more than PAIR_ROWS pairs, and how many tasks their pairs are dealt over."""
+    each = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > PAIR_ROWS)
+    return written(each.withColumn("parts", F.ceil(F.col("members") / PAIR_ROWS).cast("int")), "busy")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, least: float = SIMILARITY, weighting: str = "set") -> DataFrame:
-    """The pairs (x, y) whose texts have a similarity of at least ``least``, exactly."""
+    """The pairs (x, y) whose texts have a similarity of at least ``least``, exactly. Pairs should be a table that is cheap to read again.
+
+    A text x of many pairs is sent to a task for every PAIR_ROWS of them; y should be the side of few pairs.
+    """
     texts = _texts(docs, pairs.select(F.col("x").alias("id")).union(pairs.select("y")), text, key)
-    kind = pairs.schema["x"].dataType.simpleString()
+    kind, busy = pairs.schema["x"].dataType.simpleString(), _busy(pairs, "x")
+    one, other = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "xy")
     # the hint keeps small and large inputs on one plan: texts are never broadcast
-    both = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("text_x")).hint("merge"), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("text_y")).hint("merge"), "y")
+    if busy.isEmpty():
+        both = pairs.join(one.hint("merge"), "x")
+    else:
+        dealt = spread(pairs, busy, ["x"]).withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int")).drop("parts")
+        dealt = dealt.unionByName(pairs.join(busy.select("x").hint("merge"), "x", "left_anti").withColumn("part", F.lit(0)))
+        copied = one.join(busy.select("x", "parts").hint("merge"), "x", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        both = dealt.join(copied.hint("merge"), ["x", "part"]).drop("part")
+    both = both.join(other.hint("merge"), "y")
     return both.select("x", "y", "text_x", "text_y").mapInArrow(_verifying(width, least, weighting), f"x {kind}, y {kind}").distinct()
 
 
@@ -210,10 +232,12 @@ def components(links: DataFrame) -> DataFrame:
         if children[0] == children[1] and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        hubs = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("members")), "hubs")
+        large = spread(both.where("b > a"), hubs, ["a"], total=children[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, "large-star")
+        hubs = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("members")), "hubs")
+        small = spread(large, hubs, ["a"])
+        small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = written(small, "edges")
 
 
@@ -221,9 +245,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
 
 
-def _promising(k: int, rows_of_band: int, least: float):
+def _promising(k: int, rows_of_band: int, least: float, deviations: float | None):
     """Rows of a block that share this band first with a row of another component whose signature agrees as much as a similar text's must."""
-    enough = least * k - 4.5 * np.sqrt(least * (1 - least) * k)
+    enough = 0 if deviations is None else least * k - deviations * np.sqrt(least * (1 - least) * k)
 
     def run(group, rows):
         sig = np.stack([np.frombuffer(s, np.uint32) for s in rows.column("sig").to_pylist()])
@@ -292,66 +316,88 @@ def _shingled(width: int, weighting: str):
 
 
 def _dealt(rows: DataFrame, block: int, shingles: int | None = None) -> DataFrame:
-    """rows with a band's members dealt into blocks, and each block with each: columns i, j, chunk."""
+    """rows with a band's members dealt into blocks, and each block with each: columns i, j, chunk. Blocks are known from partial counts before any row moves."""
     need = F.ceil(F.count(F.lit(1)) / block)
     need = need if shingles is None else F.greatest(need, F.ceil(F.sum("n") / shingles))
-    size = rows.groupBy("band").agg(need.cast("int").alias("blocks"))
-    own = rows.join(size, "band").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    size = written(rows.groupBy("band").agg(need.cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")), "blocks")
+    own = spread(rows, size, ["band"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return own.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("blocks", "other")
 
 
-def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
+def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", deviations: float | None = DEVIATIONS) -> DataFrame:
     """(key, class_id): one row for each row of docs; class_id is the least key of its component.
 
     Nodes are documents, links are pairs of at least the similarity (Jaccard, of sets or of counts of word shingles).
     Texts with the same few words (fewer than the width), and all texts without words (null, empty, blank), are copies of each other.
-    Rows with a null key have a null class; rows that share a key are one document.
+    Rows with a null key have a null class; rows that share a key are one document, linked to whatever one of its texts is linked to.
+    Other columns of docs are neither read nor returned. An empty table gives no rows.
+
+    deviations: in what leaders leave apart, pairs whose signatures agree less than ``least`` minus so many standard deviations are passed over;
+    None passes over none that share a band.
     """
     small_batches(docs.sparkSession)
     options = {"text": text, "key": key, "width": width, "weighting": weighting}
     own = docs.select(key, text)
     seen = written(sketches(own, bands=bands, rows=rows, **options), "sketches")
-    copies = seen.groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
-    member = written(seen.select("id", "one", "two", "n").join(copies, ["one", "two", "n"]).select("id", "rep", "n"), "members")
-    nodes = seen.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").select(F.col("id").alias("rep"), "n", "sig")
+    total = seen.count()
+    same = ["one", "two", "n"]
+    copies = written(seen.groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")), "copies")
+    first = copies.select(*same, F.col("rep").alias("id"))
+    nodes = written(seen.join(first.hint("merge"), [*same, "id"], "left_semi").select(F.col("id").alias("rep"), "n", "sig").distinct(), "nodes")
 
     size = rows * 4
     bands_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.cast("tinyint").alias("b"), F.xxhash64(b, F.substring("sig", b * size + 1, F.lit(size))).alias("band")))).alias("at")
     each = nodes.select("rep", "n", bands_of).select("rep", "n", "at.b", "at.band")
-    shared = written(each.join(each.groupBy("band").count().where("count > 1").select("band").hint("merge"), "band"), "bands")
+    # every member meets its band's first
+    heads = written(each.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
+    shared = written(spread(each, heads.withColumn("size", F.col("members")), ["band"], total=nodes.count() * bands), "bands")
 
     def near(a: str, b: str):
         return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
 
-    # every member meets its band's first
-    leader = shared.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("head"))
-    pairs = shared.join(leader, "band").where(near("n", "head.n")).select(F.col("rep").alias("x"), F.col("head.rep").alias("y"))
+    pairs = shared.where(near("n", "head.n")).select(F.col("rep").alias("x"), F.col("head.rep").alias("y"))
     links = written(verified(written(_ordered(pairs), "pairs"), own, least=least, **options), "links")
+    repeated = written(seen.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    if not repeated.isEmpty():  # a document of several texts links what they belong to
+        texts = seen.join(repeated.hint("merge"), "id", "left_semi").select("id", *same).distinct()
+        links = written(links.unionByName(spread(texts, copies, same, total=total).select(F.col("id").alias("x"), F.col("rep").alias("y")).where("x <> y")), "links")
     root = components(links)
 
     # bands that still hold several components; a band of two has met its only pair
-    placed = shared.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("band")
-    apart = written(placed.join(mixed, "band", "left_semi"), "apart")
-    if not apart.isEmpty():
+    placed = shared.where("size > 2").drop("head", "size").join(root.select(F.col("id").alias("rep"), "root").hint("merge"), "rep", "left")
+    placed = written(placed.withColumn("root", F.coalesce("root", "rep")), "placed")
+    mixed = written(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").drop("lo", "hi"), "mixed")
+    if not mixed.isEmpty():
+        apart = written(spread(placed, mixed, ["band"]), "apart")
         kind = own.schema[key].dataType.simpleString()
         blocks = _dealt(apart, BLOCK).join(nodes.select("rep", "sig").hint("merge"), "rep")
-        found = blocks.groupBy("band", "i", "j").applyInArrow(_promising(bands * rows, rows, least), f"band bigint, rep {kind}, n bigint, root {kind}")
+        found = blocks.groupBy("band", "i", "j").applyInArrow(_promising(bands * rows, rows, least, deviations), f"band bigint, rep {kind}, n bigint, root {kind}")
         found = written(found.distinct(), "promising")
         sets = _texts(own, found.select(F.col("rep").alias("id")), text, key).mapInArrow(_shingled(width, weighting), f"rep {kind}, set binary, counts binary")
         blocks = _dealt(found, BLOCK, BLOCK_SHINGLES).join(sets.hint("merge"), "rep")
         more = blocks.groupBy("band", "i", "j").applyInArrow(_joined(least), f"x {kind}, y {kind}")
         root = components(links.unionByName(written(more.distinct(), "more-links")))
-    whole = member.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"))
-    whole = whole.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    return docs.select(key).join(whole.select(F.col("id").alias(key), "class_id"), key, "left")
+    named = copies.join(root.select(F.col("id").alias("rep"), "root").hint("merge"), "rep", "left").withColumn("class_id", F.coalesce("root", "rep"))
+    # all copies of a text may be a third of all rows: they are met by a broadcast
+    whole = spread(seen.select("id", *same), written(named.select(*same, "members", "class_id"), "classes"), same, total=total).select(F.col("id").alias(key), "class_id")
+    return whole.unionByName(docs.where(F.col(key).isNull()).select(key, F.col(key).alias("class_id")))
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """docs without all but the first document (least key) of each class; rows with a null key stay."""
+    """docs without all but the first document (least key) of each class; rows with a null key stay.
+
+    Rows that share a key are one document, of which one row stays: that of the least hash of all its columns.
+    Every column of docs is kept, whatever its name.
+    """
     keep = classes(docs, key=key, **options).where(F.col(key) == F.col("class_id")).select(key).distinct()
-    return docs.join(keep, key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    repeated = written(docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(key), "repeated")
+    unkeyed = docs.where(F.col(key).isNull())
+    if repeated.isEmpty():
+        return docs.join(keep, key, "left_semi").unionByName(unkeyed)
+    keep = written(keep, "kept")
+    several = docs.join(keep.join(repeated, key, "left_semi"), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return docs.join(keep.join(repeated, key, "left_anti"), key, "left_semi").unionByName(several).unionByName(unkeyed)
 
 
 def query(spark, sf_dir):

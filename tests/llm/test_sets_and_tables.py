@@ -89,6 +89,28 @@ def test_classes_of_odd_rows(odd, none):
     assert kept.doc_id.isna().sum() == 1 and sorted(kept.doc_id.dropna()) == [1, 2, 5, 8]
 
 
+def test_classes_are_the_same_however_hot_keys_are_split(make, monkeypatch):
+    from curvemill.llm import _joins
+
+    rows = [(i, " ".join(["base"] * (i % 3) + [f"w{(i // 40) * 7 + j}" for j in range(60)] + [f"end{i % 9}"])) for i in range(160)] + [(1000 + i, "same few") for i in range(400)]
+    docs = make([(i, t, None, None, None) for i, t in rows])
+    want = brute_classes(rows)
+    for hot, pairs in ((1, 3), (10**9, 3), (50, 4096)):
+        monkeypatch.setattr(_joins, "MAX_HOT", hot)
+        monkeypatch.setattr(neardup, "PAIR_ROWS", pairs)
+        got = frame(neardup.classes(docs, deviations=None if hot == 50 else 4.5))
+        assert dict(zip(got.doc_id, got.class_id, strict=True)) == want
+
+
+def test_rows_of_one_id_are_one_document(make):
+    text = [prose(100 * k, 60) for k in range(4)]
+    docs = make([(1, text[0], "en", "a", i) for i in range(3)] + [(2, text[0], "en", "a", 0), (7, text[1], "a", "b", 0), (7, text[2], "a", "b", 1), (3, text[1], "x", "b", 0), (4, text[2], "x", "b", 0), (9, text[3], "x", "b", 0)])
+    got = frame(neardup.classes(docs))
+    assert dict(zip(got.doc_id, got.class_id, strict=True)) == {1: 1, 2: 1, 7: 3, 3: 3, 4: 3, 9: 9} and len(got) == 9
+    kept = frame(neardup.deduplicated(docs))
+    assert sorted(kept.doc_id) == [1, 3, 9] and kept.columns.tolist() == docs.columns
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "x bigint, y bigint")
     got = frame(neardup.components(links)).set_index("id").root

@@ -373,3 +373,15 @@ def test_many_shards_and_a_small_cache(spark, sf, monkeypatch):
         keys = rng.integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
         assert not index.count(*keys).any() and index.loads <= probes * n_shards
         assert sum(s is not None for s in index.held.values()) <= 3
+
+
+def test_rows_of_one_id_are_packed_in_many_groups(make):
+    """A group's size doesn't depend on ids; every id lies in one piece, full windows too."""
+    from pyspark.sql import functions as F
+
+    parts = make([(7, 0, 1 + i % 2048) for i in range(4000)], "doc_id bigint, start bigint, length bigint").coalesce(2)
+    got = packing.packed(parts, 4000, group_rows=500)
+    groups = got.groupBy(F.shiftright("sequence_id", 32)).count().toPandas()["count"]
+    assert len(groups) == 8 and groups.max() < 650 and groups.sum() == 4000
+    per = frame(got).groupby("sequence_id").length.sum()
+    assert per.max() <= 2048 and per.sum() == sum(1 + i % 2048 for i in range(4000)) and len(per) < 1.05 * per.sum() / 2048
