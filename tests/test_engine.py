@@ -220,7 +220,8 @@ def test_binary_chain_of_all_points(spark, sf, monkeypatch):
     own = queries.QUERIES["hmm_binary_loglik"](spark, sf).toPandas().set_index("q").log_lik
     for q in (0.0, 0.1, 0.25, 0.5):
         want = np.log(0.5 * (np.exp(dens.sum(1)) * q**flips * (1 - q) ** (13 - flips)).sum())
-        assert abs(own.iloc[round(q * 1000)] - want) < 1e-9
+        assert abs(own.iloc[round(q * 1000)] - want) < 5.1e-6
+        assert abs(hmm.binary_log_likelihood(y, se, (0.0, 0.05), q, np.zeros(14, int)) - want) < 1e-9
     q = queries.QUERIES["hmm_binary_fit"](spark, sf).toPandas()
     assert abs(q.log_likelihood[0] - hmm.fit_binary(y, se, (0.0, 0.05))["log_likelihood"]) < 1e-9 and len(q) == 14
 
