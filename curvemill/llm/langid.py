@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import CHUNK, LETTER, LOWER, chunks, counted, small_batches
+from ._bytes import CHUNK, LETTER, LOWER, chunks, counted, kept, small_batches, unused
 
 #: Hash buckets of the n-grams.
 BUCKETS = 4096
@@ -153,14 +153,16 @@ def predicted(docs: DataFrame, model: Model, *, text: str = "text", keep: list[s
     """Kept columns, lang_pred, score (0 to 1), ambiguous of every document.
 
     A text that is null or without letters (ASCII letters, or letters beyond ASCII) is ``und`` with score 0, as is
-    every text of a model without languages.
+    every text of a model without languages. Of languages as near the alphabetically first is predicted. Repeated rows are predicted alike, an
+    empty table gives no rows, and a kept column named like a result column gives way to it.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = kept(keep, ["lang_pred", "score", "ambiguous"])
+    hidden = unused("__text", keep)
     small_batches(docs.sparkSession)
     names = np.array([*model.languages, "und"], dtype=object)
 
     def run(batches):
-        for part, data, offsets in chunks(batches, "__text", limit=CHUNK // 2, rows=PASS_ROWS):
+        for part, data, offsets in chunks(batches, hidden, limit=CHUNK // 2, rows=PASS_ROWS):
             letters = counted(LETTER[data], offsets) > 0
             odd = np.flatnonzero(letters & (counted(LETTER[data] & (data < 128), offsets) == 0))
             if len(odd):  # beyond ASCII not all is letters
@@ -177,7 +179,7 @@ def predicted(docs: DataFrame, model: Model, *, text: str = "text", keep: list[s
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "ambiguous"])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(hidden)).mapInArrow(run, schema)
 
 
 def held_out(folds: int, fold: int) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from ._bytes import LETTER, SPACE, Hasher, _table, chunks, counted, lines, mix, runs, small_batches, windows
+from ._bytes import LETTER, SPACE, Hasher, _table, chunks, counted, kept, lines, mix, runs, small_batches, unused, windows
 
 SYMBOLS = _table(b"#*$%&|<>")
 UPPER = _table(bytes(range(65, 91)))
@@ -30,6 +30,9 @@ WINDOW = 8
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_lines", "n_letters", "n_upper", "n_digits", "n_stops", "n_bare", "n_marked"]
 
+#: Columns of the result besides the kept ones.
+RESULTS = [*FEATURES, "votes", "quality", "good"]
+
 
 def measure(data: np.ndarray, offsets: np.ndarray, hashers: tuple[Hasher, Hasher]) -> dict[str, np.ndarray]:
     """FEATURES of each row of a buffer."""
@@ -94,18 +97,19 @@ def measure(data: np.ndarray, offsets: np.ndarray, hashers: tuple[Hasher, Hasher
 
 
 def features(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and FEATURES (bigint) of every document. A null text has no words."""
+    """The kept columns and FEATURES (bigint) of every document. A null text has no words; a kept column named like a result column gives way to it."""
     small_batches(docs.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
+    keep = kept(keep, RESULTS)
+    hidden = unused("__text", keep)
 
     def run(batches):
         hashers = Hasher(3), Hasher(4)
-        for part, data, offsets in chunks(batches, text):
+        for part, data, offsets in chunks(batches, hidden):
             found = measure(data, offsets, hashers)
             columns = [part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(found[c].astype(np.int64)) for c in FEATURES]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *FEATURES])
 
-    own = docs.select(*keep, text) if text not in keep else docs.select(*keep)
+    own = docs.select(*keep, F.col(text).alias(hidden))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in FEATURES])
     return own.mapInArrow(run, schema)
 
@@ -173,7 +177,6 @@ def judged(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None
     Null and empty texts have no words: the length rule votes bad. Repeated
     rows are judged alike, each counts in EM. An empty table gives no rows.
     """
-    keep = ["doc_id"] if keep is None else keep
     named = rules()
     seen = written(features(docs, text=text, keep=keep).select("*", F.struct(*(v.cast("tinyint").alias(k) for k, v in named.items())).alias("votes")), "quality")
     open_row = F.lit(1) if decided is None else F.when(decided, 0).otherwise(1)

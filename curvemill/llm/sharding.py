@@ -158,7 +158,9 @@ class ShardStore:
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{s.path}" for s in shards))
 
     def read(self, version: int | None = None, *, shard: str | None = None) -> DataFrame:
-        """The rows of a version; ``shard``: a column for the file each lies in."""
+        """The rows of a version; ``shard``: a column for the file each lies in, which must not be a column of the table."""
+        if shard is not None and shard.lower() in {c.lower() for c in self.schema.names}:
+            raise ValueError(f"the table has a column {shard}")
         rows = self._read(self.shards(version))
         if shard is None:
             return rows

@@ -82,11 +82,11 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, block: int = BLOC
 
     ``vectors`` has id (bigint) and vector (array of bigint, no nulls). Ties go
     to the smaller id. Rows with the query's id are its own and take no part, so
-    a repeated id never finds itself; other repeated rows stay candidates.
+    a repeated id never finds itself; of its vectors the least is the query. Other repeated rows stay candidates.
     Vectors meet those of the same dimension only. Null ids take no part.
     """
     rows = vectors.select("id", "vector").where("id is not null")
-    asked = rows.where(is_query).dropDuplicates(["id"])
+    asked = rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
     n, m = (-(-max(1, df.count()) // size) for df, size in ((rows, block), (asked, query_block)))
     left = _blocks(rows, n)
     right = _blocks(asked, m).select("dim", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
