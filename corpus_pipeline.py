@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
-columns of documents.
+columns of documents; other columns of documents aren't carried.
 """
 
 from __future__ import annotations
