@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="curvemill-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext.getCheckpointDir()
