@@ -171,6 +171,66 @@ def marginal(design: DataFrame, curves: DataFrame, n: int, *, sigma2: float | No
     return out
 
 
+def marginal_own_rows(design: DataFrame, curves: DataFrame, n: int, *, sigma2: float | None = None) -> DataFrame:
+    """(j, t, n_own, bhat, shat): as ``marginal`` where each response has its own individuals, those with a row in curves (null y: absent).
+
+    Covariates are standardised over all n individuals, responses over their own; slopes and errors are those without
+    intercept over the response's own rows. A covariate that is 0 for all of a response's individuals has no row there (its slope is 0).
+    """
+    own = curves.where(F.col("y").isNotNull())
+    x_stats = varying(design, n).where("kept").select("j", F.col("mean").alias("x_mean"), F.sqrt("var").alias("x_sd"))
+    y_stats = own.groupBy("t").agg(F.count("y").alias("n_own"), F.avg("y").alias("y_mean"), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("y_sd"))
+    sums = design.join(own, "id").groupBy("j", "t").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+    out = sums.join(x_stats, "j").join(y_stats, "t")
+    d = (F.col("xx") - 2 * F.col("x_mean") * F.col("sx") + F.col("n_own") * F.col("x_mean") ** 2) / F.col("x_sd") ** 2
+    sd = F.when(F.col("y_sd") > 0, F.col("y_sd")).otherwise(1.0)
+    out = out.withColumn("d", d).withColumn("bhat", (F.col("xy") - F.col("y_mean") * F.col("sx")) / F.col("x_sd") / sd / F.col("d"))
+    square = F.when(F.col("y_sd") > 0, F.col("n_own") - 1.0).otherwise(0.0)
+    rest = F.greatest(F.lit(0.0), square - F.col("bhat") ** 2 * F.col("d"))
+    # one row has no variance of its own
+    se = F.when(F.col("n_own") > 1, F.sqrt(rest / (F.col("n_own") - 1) / F.col("d"))) if sigma2 is None else F.sqrt(F.lit(float(sigma2)) / F.col("d"))
+    return out.select("j", "t", "n_own", "bhat", F.greatest(F.lit(1e-32), se).alias("shat"))
+
+
+class Medians:
+    """Is each column's median at most a threshold? Exact from counts and the two values next to the threshold, so that partials merge."""
+
+    def __init__(self, threshold: float, n: int, count: np.ndarray, below: np.ndarray, above: np.ndarray):
+        self.threshold, self.n, self.count, self.below, self.above = threshold, n, count, below, above
+
+    @classmethod
+    def of(cls, z: np.ndarray, threshold: float) -> Medians:
+        under = z <= threshold
+        return cls(threshold, len(z), under.sum(0), np.where(under, z, -np.inf).max(0, initial=-np.inf), np.where(under, np.inf, z).min(0, initial=np.inf))
+
+    def __add__(self, other: Medians) -> Medians:
+        return Medians(self.threshold, self.n + other.n, self.count + other.count, np.maximum(self.below, other.below), np.minimum(self.above, other.above))
+
+    def at_most(self) -> np.ndarray:
+        """The median of an even number of rows is the mean of the middle two."""
+        split = (2 * self.count == self.n) & (self.below + self.above <= 2 * self.threshold)
+        return (2 * self.count > self.n) | split
+
+
+def low_medians(rows: DataFrame, a: np.ndarray, mean: np.ndarray, threshold: float, *, x: str = "x", y: str = "y") -> np.ndarray:
+    """Which of the coefficients a @ (y - mean) have a median absolute value of at most the threshold, over the rows that ``moments`` uses."""
+    size = len(a)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                now = Medians.of(np.abs((_matrix(batch.slice(at, ROWS).column(0)) - mean) @ a.T), threshold)
+                held = now if held is None else held + now
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(np.full(size, held.n)), pa.array(held.count), pa.array(held.below), pa.array(held.above)], names=["c", "n", "under", "below", "above"])
+
+    whole = rows.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.forall(x, lambda v: v.isNotNull()) & F.forall(y, lambda v: v.isNotNull())).select(y)
+    parts = whole.mapInArrow(run, "c bigint, n bigint, under bigint, below double, above double")
+    found = parts.groupBy("c").agg(F.sum("n").alias("n"), F.sum("under").alias("under"), F.max("below").alias("below"), F.min("above").alias("above")).orderBy("c").toPandas()
+    return Medians(threshold, int(found["n"].iloc[0]), found["under"].to_numpy(), found["below"].to_numpy(), found["above"].to_numpy()).at_most()
+
+
 def low_count(curves: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Responses (t) whose median absolute value is at most the threshold, by the exact median."""
     return curves.groupBy("t").agg(F.expr("percentile(abs(y), 0.5D)").alias("median")).where(F.col("median") <= threshold)

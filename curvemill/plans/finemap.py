@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from ..functions import mixture as mx
 from ..functions import wavelets as wv
 from ..functions.special import LOG_2PI, log_mean_exp
-from ..operators.moments import Moments, moments, partial
+from ..operators.moments import Medians, Moments, low_medians, moments, partial
 from . import smoothing
 
 SIGMA2_FLOOR = math.sqrt(2.220446049250313e-16)
+#: What sums may put between a coefficient and the threshold that it equals.
+ROUNDING = 1e-12
 
 
 @dataclass
@@ -45,7 +47,8 @@ class Settings:
     greedy: bool = True
     backfit: bool = True
     negligible: float = 1e-3
-    low_count: float = 0.0
+    #: Coefficients of at most this median absolute value (standardised) are masked; None saves the second pass over the rows.
+    low_count: float | None = 0.0
     filter_moments: int = 10
     family: str = "least_asymmetric"
     smoother: str = "ti"
@@ -372,6 +375,17 @@ def _curves(smoother: str, state: State, raw: Moments, kept: np.ndarray, grid: n
     return smoothing.backfitted(smoother, xtx, xty, yty, raw.n, leads), grid
 
 
+def coefficients(m: Moments, pos: np.ndarray | None = None, settings: Settings | None = None) -> np.ndarray:
+    """The matrix that takes a centred response to its standardised wavelet coefficients; 0 for those that don't vary."""
+    s, t = settings or Settings(), m.cross.shape[0] - m.p
+    pos = np.arange(1, t + 1, dtype=float) if pos is None else np.asarray(pos, float)
+    grid, to_grid = wv.interpolation(pos, s.max_scale) if wv.needs_remap(pos, s.max_scale) else (pos, np.eye(t))
+    y_sd = np.sqrt(np.maximum(np.diag(to_grid @ m.yty @ to_grid.T), 0) / (m.n - 1))
+    a = wv.transform_matrix(len(grid), s.filter_moments, s.family) @ (to_grid / np.where(y_sd > 0, y_sd, 1.0)[:, None])
+    c_sd = np.sqrt(np.maximum(np.diag(a @ m.yty @ a.T), 0) / (m.n - 1))
+    return np.where(c_sd > 1e-12, 1 / np.where(c_sd > 1e-12, c_sd, 1.0), 0.0)[:, None] * a
+
+
 def fit_moments(m: Moments, pos: np.ndarray | None = None, names: list[str] | None = None, settings: Settings | None = None, masked: np.ndarray | None = None) -> Fit:
     """The whole fit from the moments of (x, y)."""
     s = settings or Settings()
@@ -420,7 +434,10 @@ class FunctionalFineMapper:
         self.settings = Settings(**settings)
 
     def fit(self, rows: DataFrame, *, x: str = "x", y: str = "y", pos: np.ndarray | None = None, names: list[str] | None = None) -> Fit:
-        return fit_moments(moments(rows, x=x, y=y), pos, names, self.settings)
+        m, masked = moments(rows, x=x, y=y), None
+        if self.settings.low_count is not None and m.n > 1:
+            masked = low_medians(rows, coefficients(m, pos, self.settings), m.mean[m.p :], self.settings.low_count + ROUNDING, x=x, y=y)
+        return fit_moments(m, pos, names, self.settings, masked)
 
     def fit_by_region(self, rows: DataFrame, region: str, *, x: str = "x", y: str = "y") -> DataFrame:
         """(region, effect, j, alpha, lbf, pip, in_set) for each of many small regions, each fitted in one task."""
@@ -431,7 +448,10 @@ class FunctionalFineMapper:
             p = len(part.column(x)[0])
             out = {c: [] for c in ("region", "effect", "j", "alpha", "lbf", "pip", "in_set")}
             try:
-                fit = fit_moments(Moments(*partial(z), p), settings=settings)
+                m, masked = Moments(*partial(z), p), None
+                if settings.low_count is not None and m.n > 1:
+                    masked = Medians.of(np.abs((z[:, p:] - m.mean[p:]) @ coefficients(m, settings=settings).T), settings.low_count + ROUNDING).at_most()
+                fit = fit_moments(m, settings=settings, masked=masked)
             except ValueError:  # nothing varies in this region
                 fit = None
             if fit is not None:

@@ -173,28 +173,27 @@ def marginal_se_marginal(spark, sf_dir):
     return _marginal(spark, sf_dir, sigma2=None).select("j", "t", r6(F.col("shat")).alias("shat"))
 
 
-_SUBSET = MARGINAL.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 3 <> 0)").replace("FROM embeddings WHERE label", "FROM embeddings WHERE vec_id % 3 <> 0 AND label")
+_SUBSET = MARGINAL.replace("FROM embeddings)", "FROM embeddings WHERE embedding[1] > 0)").replace("FROM embeddings WHERE label", "FROM embeddings WHERE embedding[1] > 0 AND label")
 
 
 @query(f"WITH {_SUBSET} SELECT j, t, round(bhat, 6) + 0.0 AS bhat FROM b")
 def marginal_subset(spark, sf_dir):
-    """The operator's own feature: a regression on a stated subset of individuals (a semi-join)."""
+    """The operator's own feature: a regression on a stated subset of individuals, those whose first point is positive (a semi-join)."""
     curves, design, _ = _e(spark, sf_dir)
-    part = views.table(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"))
+    part = views.table(spark, sf_dir, "embeddings").where("embedding[0] > 0 AND label IS NOT NULL").select(F.col("vec_id").alias("id"))
     return mo.marginal(design.join(part, "id", "left_semi"), curves.join(part, "id", "left_semi"), part.count(), sigma2=1.0).select("j", "t", r6(F.col("bhat")).alias("bhat"))
 
 
-@query(f"""WITH {E}, o AS (SELECT id, t, y FROM e WHERE (id + t) % 5 <> 0),
-ys AS (SELECT t, count(*)::DOUBLE AS n, avg(y) AS m FROM o GROUP BY t),
-xs AS (SELECT j, t, count(*)::DOUBLE AS c, sum(y) AS p FROM x JOIN o USING (id) GROUP BY j, t)
-SELECT j, t, round((p - c * m) / (c - c * c / n), 6) + 0.0 AS slope FROM xs JOIN ys USING (t)""")
+@query(f"""WITH {MARGINAL}, o AS (SELECT id, t, y FROM e WHERE abs(y) <= 0.25),
+yo AS (SELECT t, count(*)::DOUBLE AS n, avg(y) AS m, stddev_samp(y) AS s FROM o GROUP BY t),
+cells AS (SELECT k.j, o.t, ((CASE WHEN x.j = k.j THEN 1.0 ELSE 0.0 END) - k.m) / k.s AS a, (o.y - yo.m) / yo.s AS b, yo.n FROM o JOIN yo USING (t) JOIN x USING (id), (SELECT j, m, s FROM xs) k),
+f AS (SELECT j, t, n, sum(a * a) AS d, sum(a * b) / sum(a * a) AS bhat, sum(b * b) AS ss FROM cells GROUP BY j, t, n)
+SELECT j, t, n::BIGINT AS n_own, round(bhat, 6) + 0.0 AS bhat, round(sqrt(greatest(0, ss - bhat * bhat * d) / (n - 1) / d), 6) AS shat FROM f""")
 def marginal_subset_per_response(spark, sf_dir):
-    """Each response has its own individuals: those whose (id, t) cell is present."""
-    curves, design, _ = _e(spark, sf_dir)
-    own = curves.where("(id + t) % 5 <> 0")
-    y = own.groupBy("t").agg(F.count("y").alias("n"), F.avg("y").alias("m"))
-    s = design.join(own, "id").groupBy("j", "t").agg(F.sum("x").alias("c"), F.sum(F.col("x") * F.col("x")).alias("cc"), F.sum(F.col("x") * F.col("y")).alias("p"))
-    return s.join(y, "t").select("j", "t", r6((F.col("p") - F.col("c") * F.col("m")) / (F.col("cc") - F.col("c") * F.col("c") / F.col("n"))).alias("slope"))
+    """Each response has its own individuals: those without an outlying value there."""
+    curves, design, n = _e(spark, sf_dir)
+    own = mo.marginal_own_rows(design, curves.where("abs(y) <= 0.25"), n)
+    return own.select("j", "t", "n_own", r6(F.col("bhat")).alias("bhat"), r6(F.col("shat")).alias("shat"))
 
 
 # wavelets
@@ -230,16 +229,14 @@ def coefficient_index(spark, sf_dir):
     return spark.createDataFrame(pa.table({"c": pa.array(np.arange(1, 65), pa.int32()), "scale": pa.array(wv.scales(64), pa.int32())}))
 
 
-@query(f"""WITH {E}, p AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY t) AS r, t::DOUBLE AS pos, y FROM e WHERE t % 3 <> 0),
+@query(f"""WITH {E}, p AS (SELECT id, (t * t)::DOUBLE AS pos, y FROM e),
 q AS (SELECT id, pos, y, lead(pos) OVER w AS npos, lead(y) OVER w AS ny FROM p WINDOW w AS (PARTITION BY id ORDER BY pos)),
-g AS (SELECT k::INTEGER + 1 AS c, 1 + (k + 0.5) / 64 * 63 AS spot FROM range(0, 64) r(k))
+g AS (SELECT k::INTEGER + 1 AS c, 1 + (k + 0.5) / 64 * 4095 AS spot FROM range(0, 64) r(k))
 SELECT id, c, round(y + (spot - pos) / (npos - pos) * (ny - y), 6) + 0.0 AS w FROM g JOIN q ON spot >= pos AND spot < npos""")
 def dyadic_interpolation(spark, sf_dir):
-    """Curves observed at 43 irregular positions, on 64 regular ones."""
-    kept = [t for t in range(1, 65) if t % 3]
-    _, a = wv.interpolation(np.array(kept, float))
-    place = F.element_at(F.map_from_arrays(F.array(*map(F.lit, kept)), F.array(*map(F.lit, range(1, len(kept) + 1)))), F.col("t"))
-    curves = _e(spark, sf_dir)[0].where("t % 3 <> 0").withColumn("t", place)
+    """Curves observed at 64 irregular positions, the squares, on 64 regular ones."""
+    _, a = wv.interpolation(np.arange(1, 65, dtype=float) ** 2)
+    curves = _e(spark, sf_dir)[0]
     return mo.transformed(curves, a).select("id", "c", r6(F.col("w")).alias("w"))
 
 

@@ -234,3 +234,52 @@ def test_registered_fits_have_room_for_all_effects(spark, sf, monkeypatch):
     for name in ("finemap_curves", "finemap_regions", "individual_fits"):
         assert queries.QUERIES[name](spark, sf).count()
     assert seen == [fm.Settings().effects] * 3
+
+
+def test_medians_at_a_threshold_merge_exactly():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 6, 40, 41):
+        z = np.abs(rng.integers(-3, 4, (n, 30)).astype(float)) / 2
+        for threshold in (0.0, 0.5, 0.75, 1.0):
+            cut = rng.integers(0, n + 1)
+            both = mo.Medians.of(z[:cut], threshold) + mo.Medians.of(z[cut:], threshold)
+            assert np.array_equal(both.at_most(), np.median(z, axis=0) <= threshold)
+
+
+def test_fits_mask_coefficients_of_low_median(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((40, 3))
+    y = rng.standard_normal((40, 16))
+    y[:, 8:] = 0
+    y[:3, 8:] = 5 * rng.standard_normal((3, 8))  # most individuals have nothing there
+    rows = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)], "x array<double>, y array<double>").repartition(3)
+    mapper = FunctionalFineMapper(effects=1, low_count=0.3)
+    m = mo.moments(rows)
+    scored = (y - y.mean(0)) @ fm.coefficients(m, settings=mapper.settings).T
+    expected = np.median(np.abs(scored), axis=0) <= 0.3
+    masked = mapper.fit(rows).state.masked
+    assert 0 < expected.sum() < 13
+    assert np.array_equal(masked, expected)
+    assert not FunctionalFineMapper(effects=1, low_count=None).fit(rows).state.masked.any()
+
+
+def test_marginal_of_own_rows_equals_numpy(spark):
+    rng = np.random.default_rng(10)
+    n, x = 30, rng.integers(0, 3, (30, 4)).astype(float)
+    y = rng.standard_normal((n, 5))
+    y[rng.random((n, 5)) < 0.3] = np.nan
+    design = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(4) if x[i, j]], "id int, j int, x double")
+    curves = spark.createDataFrame([(i, t, None if np.isnan(y[i, t]) else float(y[i, t])) for i in range(n) for t in range(5)], "id int, t int, y double")
+    a = (x - x.mean(0)) / x.std(0, ddof=1)
+    for sigma2 in (None, 2.0):
+        found = {(r.j, r.t): r for r in mo.marginal_own_rows(design, curves, n, sigma2=sigma2).collect()}
+        assert len(found) == 20
+        for t in range(5):
+            has = ~np.isnan(y[:, t])
+            b = (y[has, t] - y[has, t].mean()) / y[has, t].std(ddof=1)
+            for j in range(4):
+                d = (a[has, j] ** 2).sum()
+                slope = a[has, j] @ b / d
+                error = np.sqrt((b @ b - slope**2 * d) / (has.sum() - 1) / d) if sigma2 is None else np.sqrt(sigma2 / d)
+                assert found[j, t].n_own == has.sum()
+                assert np.allclose([found[j, t].bhat, found[j, t].shat], [slope, error])
