@@ -195,6 +195,29 @@ def test_top_k_leaves_out_unusable_vectors(spark):
     assert topk.top_k(good.limit(0), good.id == 0).count() == 0
 
 
+def test_top_k_sends_no_block_to_the_driver_and_copies_none(spark):
+    """Blocks are far larger than what Spark estimates from the rows they are made of, so it must not choose to broadcast them."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-200, 200, (300, 8))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vector array<bigint>").repartition(3)
+    found = topk.top_k(rows, rows.id % 10 == 0, block=16, query_block=4)
+    assert len(found.collect()) == 30 * 5
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+
+
+def test_top_k_of_several_dimensions_and_sizes_of_numbers(spark):
+    rng = np.random.default_rng(6)
+    v = [rng.integers(-hi, hi, dims).tolist() for hi, dims in ((100, 3), (2**20, 20), (2**28, 9), (1, 40)) for _ in range(60)] + [[]] * 3
+    rows = spark.createDataFrame(list(enumerate(v)), "id bigint, vector array<bigint>").repartition(5)
+    got = frame(topk.top_k(rows, rows.id % 3 == 0, k=4, block=7, query_block=5)).sort_values(["query_id", "rank"])
+    assert got.query_id.nunique() == 81
+    for q, part in got.groupby("query_id"):
+        score = {i: sum(a * b for a, b in zip(x, v[q], strict=True)) for i, x in enumerate(v) if len(x) == len(v[q]) and i != q}
+        order = sorted(score, key=lambda i: (-score[i], i))[:4]
+        assert part.vec_id.tolist() == order and part.score.tolist() == [score[i] for i in order]
+
+
 # sharding
 
 def test_store_round_trip_and_versions(spark, odd):
