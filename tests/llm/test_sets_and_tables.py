@@ -102,6 +102,23 @@ def test_classes_are_the_same_however_hot_keys_are_split(make, monkeypatch):
         assert dict(zip(got.doc_id, got.class_id, strict=True)) == want
 
 
+def test_spread_joins_pass_on_matches_only(spark, monkeypatch):
+    """Most bands have one member and no row in the table: these must not go through a join of their own."""
+    from curvemill.llm import _joins
+
+    rows = spark.createDataFrame([(i % 4 if i < 300 else i, None if i % 50 == 0 else f"k{i % 4}", i) for i in range(500)], "a bigint, `b.c` string, i int")
+    table = spark.createDataFrame([(k, f"k{k}", 75 if k else 1, 10 * k) for k in range(4)] + [(301, "k1", 1, 9), (None, "k0", 99, 1)], "a bigint, `b.c` string, members bigint, v int")
+    kept = table.collect()
+    want = sorted((r[0], r[1], r[2], t[3]) for r in rows.collect() for t in kept if None not in (r[0], r[1]) and r[:2] == t[:2])
+    for hot in (20, 1, 10**9):
+        monkeypatch.setattr(_joins, "MAX_HOT", hot)
+        got = _joins.spread(rows, table, ["a", "b.c"])
+        assert sorted(map(tuple, got.collect())) == want and got.columns == ["a", "b.c", "i", "v"]
+        assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="same types"):
+        _joins.spread(rows.withColumn("a", rows.a.cast("int")), table, ["a", "b.c"])
+
+
 def test_rows_of_one_id_are_one_document(make):
     text = [prose(100 * k, 60) for k in range(4)]
     docs = make([(1, text[0], "en", "a", i) for i in range(3)] + [(2, text[0], "en", "a", 0), (7, text[1], "a", "b", 0), (7, text[2], "a", "b", 1), (3, text[1], "x", "b", 0), (4, text[2], "x", "b", 0), (9, text[3], "x", "b", 0)])
